@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm.fingerprints import op1_fingerprints
+from blockloom.llm.repeats import op2_repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints}
+    return {
+        "op1_fingerprints": op1_fingerprints,
+        "op2_repeats": op2_repeats,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
