@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm.fingerprints import op1_fingerprints
+from blockloom.llm.jaccard import op6_jaccard
 from blockloom.llm.repeats import op2_repeats
 
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_repeats": op2_repeats,
+        "op6_jaccard": op6_jaccard,
     }
 
 
