@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm.fingerprints import op1_fingerprints
 from blockloom.llm.jaccard import op6_jaccard
+from blockloom.llm.packing import op5_packing
 from blockloom.llm.repeats import op2_repeats
 
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_repeats": op2_repeats,
+        "op5_packing": op5_packing,
         "op6_jaccard": op6_jaccard,
     }
 
