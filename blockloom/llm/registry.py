@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from blockloom.llm.fingerprints import op1_fingerprints
 from blockloom.llm.jaccard import op6_jaccard
 from blockloom.llm.packing import op5_packing
+from blockloom.llm.pieces import op4_pieces
 from blockloom.llm.quality import op3_quality
 from blockloom.llm.repeats import op2_repeats
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_repeats": op2_repeats,
         "op3_quality": op3_quality,
+        "op4_pieces": op4_pieces,
         "op5_packing": op5_packing,
         "op6_jaccard": op6_jaccard,
     }
