@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm.fingerprints import op1_fingerprints
 from blockloom.llm.jaccard import op6_jaccard
+from blockloom.llm.licenses import op7_licenses
 from blockloom.llm.packing import op5_packing
 from blockloom.llm.pieces import op4_pieces
 from blockloom.llm.quality import op3_quality
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pieces": op4_pieces,
         "op5_packing": op5_packing,
         "op6_jaccard": op6_jaccard,
+        "op7_licenses": op7_licenses,
     }
 
 
