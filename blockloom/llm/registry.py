@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm.fingerprints import op1_fingerprints
+from blockloom.llm.html import op8_html
 from blockloom.llm.jaccard import op6_jaccard
 from blockloom.llm.licenses import op7_licenses
 from blockloom.llm.packing import op5_packing
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_jaccard": op6_jaccard,
         "op7_licenses": op7_licenses,
+        "op8_html": op8_html,
     }
 
 
