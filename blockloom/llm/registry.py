@@ -10,6 +10,7 @@ from blockloom.llm.fingerprints import op1_fingerprints
 from blockloom.llm.html import op8_html
 from blockloom.llm.jaccard import op6_jaccard
 from blockloom.llm.licenses import op7_licenses
+from blockloom.llm.media import op10_media
 from blockloom.llm.packing import op5_packing
 from blockloom.llm.pieces import op4_pieces
 from blockloom.llm.quality import op3_quality
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_jaccard": op6_jaccard,
         "op7_licenses": op7_licenses,
         "op8_html": op8_html,
+        "op10_media": op10_media,
     }
 
 
