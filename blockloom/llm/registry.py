@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockloom.llm.chat import ORACLE_SQL as CHAT_SQL
+from blockloom.llm.chat import op9_chat
 from blockloom.llm.fingerprints import op1_fingerprints
 from blockloom.llm.html import op8_html
 from blockloom.llm.jaccard import op6_jaccard
@@ -27,9 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_jaccard": op6_jaccard,
         "op7_licenses": op7_licenses,
         "op8_html": op8_html,
+        "op9_chat": op9_chat,
         "op10_media": op10_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat": CHAT_SQL}
