@@ -216,7 +216,9 @@ def extracted(df: DataFrame, id_col: str, url_col: str, html_col: str, weights:
     ship(spark)
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     if weights is None:
-        weights = learned([r["html"] for r in rows.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES).collect()])
+        some = rows.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES)
+        # At most FIT_PAGES ids, and then their pages.
+        weights = learned([r["html"] for r in rows.select("page_id", "html").join(F.broadcast(some), "page_id").orderBy("page_id", "html").limit(FIT_PAGES).collect()])
     # A dict of element names: its size does not depend on the corpus.
     words, tags = dict(weights.words), dict(weights.tags)
 
