@@ -1,4 +1,8 @@
-"""Registered block-cache queries and their SQL."""
+"""Registered block-cache queries and the SQL that gives the same rows.
+
+Requests come from ``documents`` (and ``conversations``, ``pages``), the access
+trace from ``events`` and page payloads from ``embeddings``.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +11,456 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.functions.keys import block_key, word_tokens
+from blockloom.functions.geometry import DEFAULT_LIMIT, MOST_PAGES, Geometry
+from blockloom.functions.keys import shard_of, word_tokens
+from blockloom.operators import blocks as B
+from blockloom.operators import lru, metrics, movement, tasks
 from blockloom.sources.tables import table
 
-N = 64
+#: Tokens of a block, shards, slots of a shard and pages of the page table.
+N, SHARDS, SLOTS, PAGES = 64, 4, 16, 500
+#: Keys that the trace touches.
+KEYS = 200
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+# --- tables of the domain -------------------------------------------------
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """A request per document; start positions and modes follow from its id."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("task_id"), "lang", "source", word_tokens(F.col("text")).alias("tokens"))
+    pages = F.when(F.size("tokens") > 0, F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: ((F.col("task_id") * 31 + i * 7) % PAGES).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return docs.withColumn("page_idx", pages).withColumn("mode", F.when(F.col("task_id") % 3 == 2, "r").otherwise("w")).withColumn("start_pos", ((F.col("task_id") % 4) * 50).cast("int")).withColumn("seq", F.col("task_id"))
+
+
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return B.block_rows(requests(spark, sf).drop("start_pos"), N, "task_id", "seq", "lang", "source", "mode")
+
+
+def kv_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Page payloads: the digest of a vector's values in millionths."""
+    digits = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6).cast("bigint").cast("string"))
+    return table(spark, sf, "embeddings").where(f"vec_id < {PAGES}").select(F.col("vec_id").cast("int").alias("page_idx"), F.md5(F.array_join(digits, ",").cast("binary")).alias("payload"))
+
+
+def trace(spark: SparkSession, sf: str) -> DataFrame:
+    """An access per event: q, r, w, w by event_id."""
+    key = F.md5((F.col("user_id") % KEYS).cast("string").cast("binary"))
+    ops = F.when(F.col("event_id") % 4 == 0, "q").when(F.col("event_id") % 4 == 1, "r").otherwise("w")
+    return table(spark, sf, "events").select("ts", "event_id", "user_id", "event_type", ops.alias("op"), key.alias("block_key"), shard_of(key, SHARDS).alias("shard"))
+
+
+def _replayed(spark: SparkSession, sf: str) -> DataFrame:
+    return lru.replay(trace(spark, sf), SLOTS, ("ts", "event_id"))
+
+
+_SQL_TOKENS = r"list_transform(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT)"
+_SQL_KEY = "md5(array_to_string({0}, ','))"
+_SQL_SHARD = f"(('0x' || substr({{0}}, 1, 8))::BIGINT % {SHARDS})"
+_SQL_REQUESTS = f"""requests AS (
+  SELECT doc_id AS task_id, doc_id AS seq, lang, source, tokens,
+    list_transform(range(0, len(tokens)), lambda i: ((doc_id * 31 + i * 7) % {PAGES})::INT) AS page_idx,
+    CASE WHEN doc_id % 3 = 2 THEN 'r' ELSE 'w' END AS mode, ((doc_id % 4) * 50)::INT AS start_pos
+  FROM (SELECT *, {_SQL_TOKENS.format("text")} AS tokens FROM documents))"""
+_SQL_BLOCKS = f"""{_SQL_REQUESTS}, cut AS (
+  SELECT *, unnest(range(0, (len(tokens) + {N - 1}) // {N})) AS b FROM requests), blocks AS (
+  SELECT task_id, seq, lang, source, mode, b AS block_idx, {_SQL_KEY.format(f"tokens[b*{N}+1 : b*{N}+{N}]")} AS block_key,
+    len(tokens[b*{N}+1 : b*{N}+{N}])::BIGINT AS n_tokens, page_idx[b*{N}+1 : b*{N}+{N}] AS pages FROM cut)"""
+_SQL_PAGES = f"""kv AS (
+  SELECT vec_id::INT AS page_idx, md5(array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1e6)::BIGINT), ',')) AS payload
+  FROM embeddings WHERE vec_id < {PAGES})"""
+_SQL_TRACE = f"""trace AS (
+  SELECT ts, event_id, user_id, event_type, CASE event_id % 4 WHEN 0 THEN 'q' WHEN 1 THEN 'r' ELSE 'w' END AS op,
+    md5((user_id % {KEYS})::VARCHAR) AS block_key, {_SQL_SHARD.format(f"md5((user_id % {KEYS})::VARCHAR)")} AS shard FROM events)"""
+
+
+def _fold_sql(source: str, capacity: int) -> str:
+    """The replay as a recursion over each shard's rows: keys and slots as lists, least recently used first."""
+    return f"""seqd AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ts, event_id) AS rn FROM {source}),
+run AS (
+  SELECT shard, 0::BIGINT AS rn, []::VARCHAR[] AS ks, []::BIGINT[] AS ss, false AS hit, -1::BIGINT AS slot, NULL::VARCHAR AS evicted
+  FROM (SELECT DISTINCT shard FROM seqd)
+  UNION ALL
+  SELECT shard, rn,
+    CASE WHEN p > 0 AND op <> 'r' THEN list_append(list_concat(ks[:p-1], ks[p+1:]), block_key)
+         WHEN p = 0 AND op = 'w' AND {capacity} > 0 THEN list_append(CASE WHEN len(ks) < {capacity} THEN ks ELSE ks[2:] END, block_key) ELSE ks END,
+    CASE WHEN p > 0 AND op <> 'r' THEN list_append(list_concat(ss[:p-1], ss[p+1:]), ss[p])
+         WHEN p = 0 AND op = 'w' AND {capacity} > 0 THEN list_append(CASE WHEN len(ss) < {capacity} THEN ss ELSE ss[2:] END, new) ELSE ss END,
+    p > 0, CASE WHEN p > 0 THEN ss[p] WHEN op = 'w' AND {capacity} > 0 THEN new ELSE -1 END,
+    CASE WHEN p = 0 AND op = 'w' AND {capacity} > 0 AND len(ks) = {capacity} THEN ks[1] END
+  FROM (SELECT r.shard, s.rn, s.op, s.block_key, r.ks, r.ss, coalesce(list_position(r.ks, s.block_key), 0) AS p,
+      CASE WHEN len(r.ks) < {capacity} THEN {capacity} - 1 - len(r.ks) ELSE r.ss[1] END AS new
+    FROM run r JOIN seqd s ON s.shard = r.shard AND s.rn = r.rn + 1)),
+replayed AS (SELECT s.shard, s.ts, s.event_id, s.op, s.block_key, r.hit, r.slot, r.evicted FROM seqd s JOIN run r USING (shard, rn))"""
+
+
+_SQL_REPLAY = f"WITH RECURSIVE {_SQL_TRACE}, {_fold_sql('trace', SLOTS)}"
+_FOUND: dict[str, tuple[Query, str | None]] = {}
+
+
+def _register(name: str, sql: str | None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _FOUND[name] = f, sql
+        return f
+
+    return put
+
+
+# --- keying and addressing --------------------------------------------------
+
+
+@_register("chunk_keys", f"WITH {_SQL_BLOCKS} SELECT task_id, block_idx, block_key, n_tokens FROM blocks")
+def chunk_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Content keys of every document's blocks."""
+    return blocks(spark, sf).select("task_id", "block_idx", "block_key", "n_tokens")
+
+
+def _other_keys(name: str, id_cols: tuple[str, ...], text: str) -> None:
+    ids = ", ".join(id_cols)
+    sql = f"""SELECT {ids}, b AS block_idx, {_SQL_KEY.format(f"tk[b*{N}+1 : b*{N}+{N}]")} AS block_key FROM (
+      SELECT {ids}, tk, unnest(range(0, (len(tk) + {N - 1}) // {N})) AS b FROM (SELECT {ids}, {_SQL_TOKENS.format(text)} AS tk FROM {name}))"""
+
+    @_register(f"chunk_keys_{name}", sql)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = table(spark, sf, name).select(*id_cols, word_tokens(F.col(text)).alias("tokens"))
+        return B.block_rows(rows, N, *id_cols).select(*id_cols, "block_idx", "block_key")
+
+
+_other_keys("conversations", ("conv_id", "turn"), "text")
+_other_keys("pages", ("page_id",), "html")
+
+
+@_register("start_pos_trim", f"""WITH {_SQL_REQUESTS}, cut AS (SELECT *, start_pos // {N} AS f, unnest(range(start_pos // {N}, greatest((len(tokens) + {N - 1}) // {N}, start_pos // {N}))) AS b FROM requests)
+SELECT task_id, b - f AS block_idx, {_SQL_KEY.format(f"tokens[b*{N}+1 : b*{N}+{N}]")} AS block_key, page_idx[b*{N}+1]::BIGINT AS first_page, len(page_idx[b*{N}+1 : b*{N}+{N}])::BIGINT AS n_pages FROM cut""")
+def start_pos_trim(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks from the start position on, which is rounded down to a block; numbered from 0 again."""
+    rows = B.block_rows(requests(spark, sf), N, "task_id")
+    return rows.select("task_id", "block_idx", "block_key", F.get("pages", F.lit(0)).cast("bigint").alias("first_page"), F.size("pages").cast("bigint").alias("n_pages"))
+
+
+@_register("block_pages", f"WITH {_SQL_BLOCKS} SELECT task_id, block_idx, list_min(pages)::BIGINT AS lowest, list_max(pages)::BIGINT AS highest, len(pages)::BIGINT AS n_pages FROM blocks")
+def block_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The page slice of each block."""
+    return blocks(spark, sf).select("task_id", "block_idx", F.array_min("pages").cast("bigint").alias("lowest"), F.array_max("pages").cast("bigint").alias("highest"), F.size("pages").cast("bigint").alias("n_pages"))
+
+
+@_register("shard_load", f"WITH {_SQL_BLOCKS} SELECT {_SQL_SHARD.format('block_key')} AS shard, count(*) AS n_blocks, count(DISTINCT block_key) AS n_keys FROM blocks GROUP BY 1")
+def shard_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks and distinct keys by shard."""
+    per_key = B.with_shard(blocks(spark, sf), SHARDS).groupBy("shard", "block_key").agg(F.count("*").alias("n"))
+    return per_key.groupBy("shard").agg(F.sum("n").alias("n_blocks"), F.count("*").alias("n_keys"))
+
+
+_SIZES = "(VALUES (0), (1), (3840), (8192), (16384), (524288), (983040), (1048577), (67108864), (67108865), (200000000)) AS v(page_bytes)"
+
+
+@_register("geometry", f"""SELECT page_bytes::BIGINT AS page_bytes, n::BIGINT AS n, (n * page_bytes)::BIGINT AS block_bytes,
+  CASE WHEN page_bytes = 0 THEN 0 ELSE ((10737418240 // 16) // (n * page_bytes))::BIGINT END AS slots_per_shard
+FROM (SELECT page_bytes::BIGINT AS page_bytes, greatest(1, least({MOST_PAGES}, greatest(1, {DEFAULT_LIMIT} // greatest(page_bytes, 1))))::BIGINT AS n FROM {_SIZES})""")
+def geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a block, its bytes and a shard's slots, by page size."""
+    sizes = spark.sql(f"SELECT CAST(page_bytes AS BIGINT) AS page_bytes FROM {_SIZES}")
+    n = F.greatest(F.lit(1), F.least(F.lit(MOST_PAGES), F.greatest(F.lit(1), F.expr(f"{DEFAULT_LIMIT} div greatest(page_bytes, 1)"))))
+    out = sizes.withColumn("n", n.cast("bigint")).withColumn("block_bytes", F.col("n") * F.col("page_bytes"))
+    return out.withColumn("slots_per_shard", F.when(F.col("block_bytes") == 0, F.lit(0).cast("bigint")).otherwise(F.expr("(10737418240 div 16) div block_bytes")))
+
+
+@_register("block_limit", f"""SELECT setting, CASE WHEN regexp_extract(setting, '^\\s*([+-]?[0-9]+)', 1) = '' THEN {DEFAULT_LIMIT}::BIGINT
+  WHEN TRY_CAST(regexp_extract(setting, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT) > 0 THEN TRY_CAST(regexp_extract(setting, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT) * 1048576 ELSE {DEFAULT_LIMIT}::BIGINT END AS limit_bytes
+FROM (VALUES ('32'), ('128'), ('0'), ('-4'), (''), ('64MB'), ('abc'), (' 16'), ('99999999999999999999')) AS v(setting)""")
+def limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Block limits from settings in MiB."""
+    rows = spark.sql("SELECT * FROM VALUES ('32'), ('128'), ('0'), ('-4'), (''), ('64MB'), ('abc'), (' 16'), ('99999999999999999999') AS v(setting)")
+    n = F.regexp_extract("setting", r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint")
+    return rows.withColumn("limit_bytes", F.when(n > 0, n * 1048576).otherwise(F.lit(DEFAULT_LIMIT).cast("bigint")))
+
+
+# --- lookup -----------------------------------------------------------------
+
+_RESIDENT = "resident AS (SELECT DISTINCT block_key FROM blocks WHERE source = 'src0')"
+
+
+def _resident(rows: DataFrame) -> DataFrame:
+    return rows.where("source = 'src0'").select("block_key")
+
+
+@_register("residency_by_lang", f"WITH {_SQL_BLOCKS}, {_RESIDENT} SELECT lang, count(*) AS n_blocks, count(r.block_key) AS n_hits FROM blocks b LEFT JOIN resident r USING (block_key) GROUP BY lang")
+def residency_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of all documents' blocks against those of one source."""
+    rows = blocks(spark, sf)
+    return B.residency(rows, _resident(rows)).groupBy("lang").agg(F.count("*").alias("n_blocks"), F.count_if("hit").alias("n_hits"))
+
+
+@_register("query_exists", f"WITH {_SQL_BLOCKS}, {_RESIDENT} SELECT task_id, block_idx, r.block_key IS NOT NULL AS hit FROM blocks b LEFT JOIN resident r USING (block_key)")
+def query_exists(spark: SparkSession, sf: str) -> DataFrame:
+    """One flag per block."""
+    rows = blocks(spark, sf)
+    return B.residency(rows, _resident(rows)).select("task_id", "block_idx", "hit")
+
+
+@_register("query_hits", f"WITH {_SQL_BLOCKS}, {_RESIDENT} SELECT task_id, block_idx, block_key FROM blocks WHERE block_key IN (SELECT block_key FROM resident)")
+def query_hits(spark: SparkSession, sf: str) -> DataFrame:
+    rows = blocks(spark, sf)
+    return rows.join(_resident(rows), "block_key", "left_semi").select("task_id", "block_idx", "block_key")
+
+
+@_register("query_misses", f"WITH {_SQL_BLOCKS}, {_RESIDENT} SELECT task_id, block_idx, block_key FROM blocks WHERE block_key NOT IN (SELECT block_key FROM resident)")
+def query_misses(spark: SparkSession, sf: str) -> DataFrame:
+    rows = blocks(spark, sf)
+    return rows.join(_resident(rows), "block_key", "left_anti").select("task_id", "block_idx", "block_key")
+
+
+@_register("already_pages", f"WITH {_SQL_BLOCKS}, {_RESIDENT} SELECT task_id, block_idx, generate_subscripts(pages, 1) - 1 AS pos, unnest(pages)::BIGINT AS page_idx FROM blocks WHERE mode = 'w' AND block_key IN (SELECT block_key FROM resident)")
+def already_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that writes need not bring, as their block is resident; in order, repeats kept."""
+    rows = blocks(spark, sf)
+    hits = rows.where("mode = 'w'").join(_resident(rows), "block_key", "left_semi")
+    return hits.select("task_id", "block_idx", F.posexplode("pages").alias("pos", "page_idx")).select("task_id", "block_idx", F.col("pos").cast("bigint").alias("pos"), F.col("page_idx").cast("bigint").alias("page_idx"))
+
+
+# --- slot store and eviction -------------------------------------------------
+
+
+@_register("free_slots", f"SELECT s::BIGINT AS shard, i::BIGINT AS slot, ({SLOTS} - 1 - i)::BIGINT AS used_as FROM range({SHARDS}) a(s), range({SLOTS}) b(i)")
+def free_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """An empty index: every slot free, the highest used first."""
+    return spark.range(SHARDS * SLOTS).select(F.expr(f"id div {SLOTS}").alias("shard"), (F.col("id") % SLOTS).alias("slot")).withColumn("used_as", F.lit(SLOTS - 1) - F.col("slot"))
+
+
+@_register("write_dedupe", f"""WITH {_SQL_BLOCKS} SELECT block_key, min(row(seq, block_idx)).seq AS seq, min(row(seq, block_idx)).block_idx AS block_idx, count(*) AS n_writes
+FROM (SELECT block_key, {{'seq': seq, 'block_idx': block_idx}} AS w, seq, block_idx FROM blocks WHERE mode = 'w') GROUP BY block_key""".replace("min(row(seq, block_idx))", "min(w)"))
+def write_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """First writer of every key in an unbounded store."""
+    writes = blocks(spark, sf).where("mode = 'w'").select("block_key", "seq", "block_idx")
+    return B.first_writers(writes, ["seq", "block_idx"])
+
+
+@_register("lru_trace", f"{_SQL_REPLAY} SELECT shard, event_id, op, block_key, hit, slot, evicted FROM replayed")
+def lru_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole trace with hits, slots and evictions."""
+    return _replayed(spark, sf).select("shard", "event_id", "op", "block_key", "hit", "slot", "evicted")
+
+
+@_register("lru_evictions", f"{_SQL_REPLAY} SELECT shard, count(*) FILTER (op = 'q' AND hit) AS query_hits, count(*) FILTER (op = 'r' AND hit) AS read_hits, count(*) FILTER (op = 'w' AND NOT hit AND slot >= 0) AS inserts, count(evicted) AS evictions FROM replayed GROUP BY shard")
+def lru_evictions(spark: SparkSession, sf: str) -> DataFrame:
+    done = _replayed(spark, sf)
+    return done.groupBy("shard").agg(F.count_if(F.expr("op = 'q' and hit")).alias("query_hits"), F.count_if(F.expr("op = 'r' and hit")).alias("read_hits"), F.count_if(F.expr("op = 'w' and not hit and slot >= 0")).alias("inserts"), F.count("evicted").alias("evictions"))
+
+
+@_register("lru_final_residents", f"{_SQL_REPLAY} SELECT shard, unnest(ks) AS block_key, unnest(ss) AS slot FROM run WHERE (shard, rn) IN (SELECT shard, max(rn) FROM run GROUP BY shard)")
+def lru_final_residents(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshot of the slots after the trace."""
+    return lru.final_residents(_replayed(spark, sf), ("ts", "event_id"))
+
+
+_SQL_WRITES = "writes AS (SELECT * FROM trace WHERE op = 'w')"
+
+
+@_register("lru_write_only", f"WITH RECURSIVE {_SQL_TRACE}, {_SQL_WRITES}, {_fold_sql('writes', SLOTS)} SELECT shard, event_id, block_key, hit FROM replayed")
+def lru_write_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of the trace's writes alone, by the replay."""
+    return lru.replay(trace(spark, sf).where("op = 'w'"), SLOTS, ("ts", "event_id")).select("shard", "event_id", "block_key", "hit")
+
+
+@_register("lru_stack_distance", f"WITH RECURSIVE {_SQL_TRACE}, {_SQL_WRITES}, {_fold_sql('writes', SLOTS)} SELECT shard, event_id, block_key, hit FROM replayed WHERE event_id < 4000")
+def lru_stack_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """The same hits without a fold, by the stack distance of every write; a check of the replay, over the trace's first 4000 events in id order.
+
+    The distance join is quadratic in a key's reuse window: it is a
+    cross-check, not the way large traces are replayed.
+    """
+    return lru.write_only_hits(trace(spark, sf).where("op = 'w' and event_id < 4000"), SLOTS, ["ts", "event_id"]).select("shard", "event_id", "block_key", "hit")
+
+
+@_register("lru_zero_slots", f"WITH {_SQL_TRACE} SELECT shard, event_id, false AS hit, -1::BIGINT AS slot FROM trace")
+def lru_zero_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """A store whose shards have no slot: nothing is ever stored."""
+    return lru.replay(trace(spark, sf), 0, ("ts", "event_id")).select("shard", "event_id", "hit", "slot")
+
+
+@_register("shard_capacity", f"""WITH {_SQL_BLOCKS} SELECT shard, n_keys, least(n_keys, {SLOTS * 4})::BIGINT AS kept, greatest(n_keys - {SLOTS * 4}, 0)::BIGINT AS over
+FROM (SELECT {_SQL_SHARD.format('block_key')} AS shard, count(DISTINCT block_key) AS n_keys FROM blocks WHERE mode = 'w' GROUP BY 1)""")
+def shard_capacity(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the written keys a shard's slots can hold at once."""
+    keys = B.with_shard(blocks(spark, sf).where("mode = 'w'"), SHARDS).select("shard", "block_key").distinct()
+    out = keys.groupBy("shard").agg(F.count("*").alias("n_keys"))
+    return out.withColumn("kept", F.least("n_keys", F.lit(SLOTS * 4)).cast("bigint")).withColumn("over", F.greatest(F.col("n_keys") - SLOTS * 4, F.lit(0)).cast("bigint"))
+
+
+# --- data movement -----------------------------------------------------------
+
+_SQL_STORED = f"""firsts AS (SELECT block_key, min({{'seq': seq, 'block_idx': block_idx, 'pages': pages}}).pages AS pages FROM blocks WHERE mode = 'w' GROUP BY block_key),
+moves AS (SELECT block_key, generate_subscripts(pages, 1) - 1 AS pos, unnest(pages) AS page_idx FROM firsts),
+stored AS (SELECT block_key, pos, payload FROM moves JOIN kv USING (page_idx))"""
+_SQL_MOVED = f"WITH {_SQL_BLOCKS}, {_SQL_PAGES}, {_SQL_STORED}"
+
+
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    writes = blocks(spark, sf).where("mode = 'w'").select("block_key", "seq", "block_idx", "pages")
+    return movement.gather(B.first_writers(writes, ["seq", "block_idx"]), kv_pages(spark, sf))
+
+
+@_register("gather", f"{_SQL_MOVED} SELECT block_key, pos, payload FROM stored")
+def gather(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads of every stored block, in page order."""
+    return _stored(spark, sf)
+
+
+def _reads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = blocks(spark, sf)
+    keys = rows.where("mode = 'w'").select("block_key").distinct()
+    return rows.where("mode = 'r'").join(keys, "block_key", "left_semi").select("seq", "block_idx", "block_key", "pages"), rows
+
+
+_SQL_READS = "reads AS (SELECT seq, block_idx, block_key, pages FROM blocks WHERE mode = 'r' AND block_key IN (SELECT block_key FROM firsts))"
+
+
+@_register("scatter_last_wins", f"""{_SQL_MOVED}, {_SQL_READS}, out_moves AS (SELECT seq, block_idx, block_key, generate_subscripts(pages, 1) - 1 AS pos, unnest(pages) AS page_idx FROM reads),
+last AS (SELECT page_idx, max({{'seq': seq, 'block_idx': block_idx, 'pos': pos, 'k': block_key}}) AS m FROM out_moves GROUP BY page_idx)
+SELECT page_idx::INT AS page_idx, payload FROM last LEFT JOIN stored s ON s.block_key = m.k AND s.pos = m.pos""")
+def scatter_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages after all reads of resident blocks; the last position wins."""
+    reads, _ = _reads(spark, sf)
+    return movement.scatter(reads, _stored(spark, sf), ["seq", "block_idx"])
+
+
+@_register("round_trip", f"{_SQL_MOVED} SELECT count(*) AS n_moves, count(*) FILTER (s.payload = kv.payload) AS n_equal FROM moves JOIN kv USING (page_idx) JOIN stored s USING (block_key, pos)")
+def round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stored position read back against its page."""
+    writes = blocks(spark, sf).where("mode = 'w'").select("block_key", "seq", "block_idx", "pages")
+    moves = B.first_writers(writes, ["seq", "block_idx"]).select("block_key", F.posexplode("pages").alias("pos", "page_idx"))
+    back = moves.join(kv_pages(spark, sf).withColumnRenamed("payload", "page"), "page_idx").join(_stored(spark, sf), ["block_key", "pos"])
+    return back.agg(F.count("*").alias("n_moves"), F.count_if(F.col("page") == F.col("payload")).alias("n_equal"))
+
+
+@_register("range_reject", f"WITH {_SQL_BLOCKS} SELECT task_id, block_idx, CASE WHEN list_max(pages) >= 400 THEN 'page_range' END AS reject_code FROM blocks")
+def range_reject(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks that point beyond a page table of 400 pages."""
+    return movement.out_of_range(blocks(spark, sf), 400).select("task_id", "block_idx", "reject_code")
+
+
+@_register("short_blocks", f"WITH {_SQL_BLOCKS} SELECT n_tokens, count(*) AS n_blocks, count(DISTINCT block_key) AS n_keys FROM blocks WHERE n_tokens < {N} GROUP BY n_tokens")
+def short_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks that are not full: only real pages are stored."""
+    return blocks(spark, sf).where(f"n_tokens < {N}").groupBy("n_tokens").agg(F.count("*").alias("n_blocks"), F.count_distinct("block_key").alias("n_keys"))
+
+
+# --- tasks ---------------------------------------------------------------------
+
+_SQL_STATES = f"""{_SQL_BLOCKS}, writes AS (SELECT DISTINCT block_key FROM blocks WHERE mode = 'w'),
+outcome AS (SELECT b.*, CASE WHEN mode = 'r' AND w.block_key IS NULL THEN 3 ELSE 2 END AS state, mode = 'w' OR w.block_key IS NOT NULL AS data_ready
+  FROM blocks b LEFT JOIN writes w USING (block_key))"""
+
+
+def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = blocks(spark, sf)
+    known = B.residency(rows, rows.where("mode = 'w'"))
+    return tasks.outcomes(known.withColumn("slot", F.lit(0))).withColumn("data_ready", F.col("hit"))
+
+
+@_register("read_outcome", f"WITH {_SQL_STATES} SELECT task_id, block_idx, mode, state::INT AS state, mode = 'w' AS stored FROM outcome")
+def read_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    """State of each block: reads that miss are aborted, writes finish."""
+    return _outcomes(spark, sf).select("task_id", "block_idx", "mode", "state", "stored")
+
+
+@_register("task_state", f"""WITH {_SQL_STATES}, per AS (SELECT task_id, count(*) AS n, count(*) FILTER (state = 2) AS f, count(*) FILTER (state = 3) AS a, count(*) FILTER (data_ready) AS g,
+  string_agg(state::VARCHAR, ',' ORDER BY block_idx) AS s FROM outcome GROUP BY task_id)
+SELECT r.task_id, r.mode, coalesce(n, 0) AS n_blocks, coalesce(f, 0) AS finished, coalesce(a, 0) AS aborted, coalesce(f, 0) + coalesce(a, 0) = coalesce(n, 0) AS ready,
+  CASE WHEN r.mode = 'w' THEN coalesce(g, 0) >= coalesce(n, 0) ELSE coalesce(f, 0) + coalesce(a, 0) = coalesce(n, 0) END AS data_safe, coalesce(s, '') AS states
+FROM requests r LEFT JOIN per USING (task_id)""")
+def task_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Ready, data_safe and block states of every request; one without blocks is ready."""
+    return tasks.rollup(requests(spark, sf).select("task_id", "mode"), _outcomes(spark, sf))
+
+
+@_register("abort_effect", f"""WITH {_SQL_STATES} SELECT task_id, block_idx, CASE WHEN task_id % 5 = 0 AND task_id + 2 < task_id + block_idx THEN 3 ELSE state END::INT AS state FROM outcome""")
+def abort_effect(spark: SparkSession, sf: str) -> DataFrame:
+    """Aborts of every fifth request after its third block ended: later blocks are aborted, earlier ones stay."""
+    done = _outcomes(spark, sf).withColumn("end_seq", F.col("task_id") + F.col("block_idx"))
+    aborts = requests(spark, sf).where("task_id % 5 = 0").select("task_id", (F.col("task_id") + 2).alias("abort_seq"))
+    return tasks.aborted(done, aborts).select("task_id", "block_idx", F.col("state").cast("int").alias("state"))
+
+
+_SQL_FLIGHT = "flight AS (SELECT event_id AS task_id, CASE WHEN event_type = 'click' THEN 'w' ELSE 'r' END AS mode, epoch_us(ts) AS b, epoch_us(ts) + (event_id % 97 + 1) * 1000000 AS e FROM events)"
+
+
+def _flight(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks with a begin and an end, in microseconds."""
+    begin = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("task_id"), F.when(F.col("event_type") == "click", "w").otherwise("r").alias("mode"), begin.alias("begin"), (begin + (F.col("event_id") % 97 + 1) * 1000000).alias("end"))
+
+
+@_register("active_tasks", f"""WITH {_SQL_FLIGHT}, ev AS (SELECT mode, b AS t, 1 AS d FROM flight UNION ALL SELECT mode, e, -1 FROM flight), per AS (SELECT mode, t, sum(d) AS d FROM ev GROUP BY mode, t)
+SELECT mode, t AS instant, (sum(d) OVER (PARTITION BY mode ORDER BY t))::BIGINT AS n_active FROM per""")
+def active_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks in flight by mode over time."""
+    return tasks.active(_flight(spark, sf))
+
+
+@_register("validate_requests", f"""WITH {_SQL_REQUESTS}, odd AS (SELECT task_id, tokens, start_pos, CASE WHEN task_id % 11 = 0 THEN 'x' ELSE mode END AS mode, CASE WHEN task_id % 7 = 0 THEN page_idx[:3] ELSE page_idx END AS page_idx FROM requests),
+counted AS (SELECT *, greatest((len(tokens) + {N - 1}) // {N} - start_pos // {N}, 0) AS blocks, (greatest(len(page_idx) - (start_pos // {N}) * {N}, 0) + {N - 1}) // {N} AS page_blocks FROM odd)
+SELECT task_id, CASE WHEN mode NOT IN ('r', 'w') THEN 'mode' WHEN blocks <> page_blocks THEN 'block_count' END AS reject_code, len(tokens) = len(page_idx) AS strict_ok FROM counted""")
+def validate_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The first check that a request fails, and the strict length check apart."""
+    odd = requests(spark, sf).withColumn("mode", F.when(F.col("task_id") % 11 == 0, "x").otherwise(F.col("mode"))).withColumn("page_idx", F.when(F.col("task_id") % 7 == 0, F.slice("page_idx", 1, 3)).otherwise(F.col("page_idx")))
+    return tasks.validated(odd, N).select("task_id", "reject_code", "strict_ok")
+
+
+# --- metrics ---------------------------------------------------------------------
+
+
+@_register("write_throughput_tumbling", f"""WITH {_SQL_TRACE}, per AS (SELECT time_bucket(INTERVAL 3 SECOND, ts) AS start, count(*) AS n_writes, count(*) * 524288 AS bytes FROM trace WHERE op = 'w' GROUP BY 1)
+SELECT start, bytes::BIGINT AS bytes, n_writes, (sum(bytes) OVER (ORDER BY start))::BIGINT AS total_bytes, bytes / 3.0::DOUBLE AS rate FROM per""")
+def write_throughput_tumbling(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes written by windows of 3 seconds, and in total."""
+    writes = trace(spark, sf).where("op = 'w'").select("ts", F.lit(524288).alias("bytes"))
+    return metrics.write_throughput(writes)
+
+
+@_register("read_busy_batches", f"""WITH {_SQL_FLIGHT}, reads AS (SELECT task_id % 50 AS lane, b, e FROM flight WHERE mode = 'r'),
+m AS (SELECT *, CASE WHEN b > max(e) OVER (PARTITION BY lane ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM reads),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY lane ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT lane, min(b) AS "begin", max(e) AS "end", count(*) AS n_reads, (count(*) * 524288)::BIGINT AS bytes FROM i GROUP BY lane, island""")
+def read_busy_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Busy periods of reads in each of 50 lanes (services), with their bytes."""
+    reads = _flight(spark, sf).where("mode = 'r'").select((F.col("task_id") % 50).alias("lane"), "begin", "end", F.lit(524288).alias("bytes"))
+    return metrics.read_batches(reads, "lane")
+
+
+@_register("bytes_counters", f"{_SQL_REPLAY} SELECT op, (count(*) FILTER (op = 'w' AND NOT hit AND slot >= 0) * 524288)::BIGINT AS written, (count(*) FILTER (op = 'r' AND hit) * 524288)::BIGINT AS read FROM replayed GROUP BY op")
+def bytes_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes moved by operation: deduplicated writes and missed reads move none."""
+    done = _replayed(spark, sf)
+    return done.groupBy("op").agg((F.count_if(F.expr("op = 'w' and not hit and slot >= 0")) * 524288).alias("written"), (F.count_if(F.expr("op = 'r' and hit")) * 524288).alias("read"))
+
+
+# --- extensions without SQL ----------------------------------------------------------
+
+
+@_register("xxh3_keys", None)
+def xxh3_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Byte-exact XXH3-128 keys of document blocks."""
+    from blockloom.functions.xxh3 import xxh3_key
+
+    rows = requests(spark, sf).select("task_id", F.posexplode(B.split(F.col("tokens"), N)).alias("block_idx", "chunk"))
+    return rows.select("task_id", "block_idx", xxh3_key("chunk").alias("block_key"))
+
 
+@_register("service_create", None)
+def service_create(spark: SparkSession, sf: str) -> DataFrame:
+    """All requests replayed through the batch service: validation, queries, writes, reads, states."""
+    from blockloom.service import BlockCache
 
-def _residency(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("lang", "source", word_tokens(F.col("text")).alias("tk")).where(F.size("tk") > 0)
-    blocks = docs.select("lang", "source", F.explode(F.expr(f"transform(sequence(0, (size(tk)-1) div {N}), b -> slice(tk, int(b*{N}+1), {N}))")).alias("c")).select("lang", "source", block_key(F.col("c")).alias("block_key"))
-    cached = blocks.where("source = 'src0'").select("block_key").distinct().withColumn("hit", F.lit(1))
-    return blocks.join(cached, "block_key", "left").groupBy("lang").agg(F.count("*").alias("n_blocks"), F.sum(F.coalesce("hit", F.lit(0))).alias("n_hits"))
+    cache = BlockCache(Geometry(page_bytes=8192, num_pages=PAGES, storage_bytes=256 << 20, num_shard=8))
+    return cache.create(requests(spark, sf)).select("task_id", "block_idx", "mode", "hit", "slot", "evicted", "state", "stored", "reject_code")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"residency_by_lang": _residency}
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _FOUND.items() if s is not None}

@@ -1,0 +1,14 @@
+"""An optional durable store: blocks as parquet, partitioned by shard."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def save(stored: DataFrame, path: str) -> None:
+    """Write blocks (shard, block_key, pos, payload) so that a later read of some shards skips the others."""
+    stored.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
