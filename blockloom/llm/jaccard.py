@@ -219,7 +219,8 @@ def components(edges: DataFrame, what: str) -> DataFrame:
     so rounds grow with the logarithm of a component's width.  Each round is a
     table in the shared folder.
     """
-    both = written(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), what)
+    edges = written(edges.where("a <> b").select("a", "b").distinct(), what)
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")), what)
     while True:
         near = both.join(now, both.b == now.v).groupBy("a").agg(F.min("c").alias("m")).select(F.col("a").alias("v"), "m")
@@ -232,6 +233,11 @@ def components(edges: DataFrame, what: str) -> DataFrame:
             return now
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for groups that take more work than their bytes tell: the session's number of shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def similarity_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of ``df``: ``doc_id``, ``class_id`` (the least doc_id of its component), ``n_links`` (other documents at the threshold or above, copies included), ``n_copies`` (other documents of the same word sequence)."""
     ship(df.sparkSession)
@@ -284,7 +290,10 @@ def similarity_classes(df: DataFrame, id_col: str, text_col: str, threshold: flo
         a = head[label]
         return pa.table([pa.array(a[a != ids]), pa.array(ids[a != ids])], names=["a", "b"])
 
-    pruned = shared.where(F.col("m") <= MOST).select("rep", "bucket").join(small, "rep").select("bucket", "rep", "sig").groupBy("bucket").applyInArrow(tie, "a long, b long")
+    # Bands of the same texts mostly have the same members: each set is compared once.
+    sets = shared.where(F.col("m") <= MOST).groupBy("bucket").agg(F.array_sort(F.collect_set("rep")).alias("members")).select("members").distinct()
+    listed = sets.select(F.xxhash64("members").alias("set"), F.explode("members").alias("rep"))
+    pruned = listed.join(small, "rep").select("set", "rep", "sig").repartition(_tasks(df), "set").groupBy("set").applyInArrow(tie, "a long, b long")
     whole = shared.where(F.col("m") > MOST).select(F.col("head").alias("a"), F.col("rep").alias("b"))
     tied = components(pruned.unionByName(whole).distinct(), "tied")
 
@@ -324,7 +333,7 @@ def _verified(rows: DataFrame, signed: DataFrame, reps: DataFrame, tied: DataFra
         np.minimum.at(head, label, ids)
         return pa.table([pa.array(ids), pa.array(head[label]), pa.array(n.astype(np.int64))], names=["rep", "head", "n"])
 
-    done = written(pairs.groupBy("cluster", "lo", "hi").applyInArrow(check, "rep long, head long, n long"), "links")
+    done = written(pairs.repartition(_tasks(rows), "cluster", "lo", "hi").groupBy("cluster", "lo", "hi").applyInArrow(check, "rep long, head long, n long"), "links")
     counts = done.groupBy("rep").agg(F.sum("n").alias("n_near"))
     classes = components(done.select(F.col("head").alias("a"), F.col("rep").alias("b")), "classes").select(F.col("v").alias("rep"), F.col("c").alias("class_id"))
     known = reps.join(classes, "rep", "left").join(counts, "rep", "left").select("sequence", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_near", F.lit(0)).alias("n_near"), (F.col("n") - 1).alias("n_copies"))
