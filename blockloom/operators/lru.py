@@ -6,7 +6,8 @@ Operations, in order within a shard:
 * ``w`` write: a resident key is promoted and kept as it is; else a free slot
   is used, the highest first, else the least recently used key gives up its own;
 * ``r`` read: finds or misses, promotes nothing;
-* ``f`` failed write: the key goes and its slot is free again.
+* ``f`` failed write: the key goes and its slot is free again;
+* ``x`` rejected: touches nothing.
 
 A shard's rows meet in one partition in order and are folded as a stream: the
 state is the shard's slots, never its trace.
@@ -21,7 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-OUT = "shard bigint, seq_1 {}, seq_2 bigint, op string, block_key string, hit boolean, slot bigint, evicted string"
 
 
 class Shard:
@@ -40,7 +40,7 @@ class Shard:
             if hit:
                 self.free.append(held.pop(key))
         elif hit:
-            if op != "r":
+            if op not in "rx":
                 held.move_to_end(key)
         elif op == "w":
             if self.free:
@@ -64,11 +64,11 @@ class Shard:
         return out
 
 
-def replay(trace: DataFrame, capacity: int, seq: tuple[str, str]) -> DataFrame:
-    """Every row of ``trace`` (shard, op, block_key and the two ``seq`` columns) with hit, slot and evicted key."""
+def replay(trace: DataFrame, capacity: int, seq: tuple[str, str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of ``trace`` (shard, op, block_key, the two ``seq`` columns and those to ``carry``) with hit, slot and evicted key."""
     a, b = seq
-    rows = trace.select("shard", F.col(a).alias("seq_1"), F.col(b).cast("bigint").alias("seq_2"), "op", "block_key")
-    kind = rows.schema["seq_1"].dataType.simpleString()
+    rows = trace.select("shard", a, F.col(b).cast("bigint").alias(b), "op", "block_key", *carry)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", hit boolean, slot bigint, evicted string"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, Shard(capacity)
@@ -81,9 +81,7 @@ def replay(trace: DataFrame, capacity: int, seq: tuple[str, str]) -> DataFrame:
             yield pdf.assign(hit=[x[0] for x in out], slot=[x[1] for x in out], evicted=[x[2] for x in out])
 
     # The partitioning comes from the shard alone, so that a shard is whole in one task.
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "seq_1", "seq_2")
-    out = dealt.mapInPandas(fold, OUT.format(kind))
-    return out.select("shard", F.col("seq_1").alias(a), F.col("seq_2").alias(b), "op", "block_key", "hit", "slot", "evicted")
+    return rows.repartition("shard").sortWithinPartitions("shard", a, b).mapInPandas(fold, schema)
 
 
 def final_residents(replayed: DataFrame, seq: tuple[str, str]) -> DataFrame:

@@ -34,15 +34,13 @@ class BlockCache:
         checked = tasks.validated(requests, g.n)
         rows = B.with_shard(B.block_rows(checked.where("reject_code is null"), g.n, "task_id", "seq", "mode"), g.num_shard)
         rows = movement.out_of_range(rows, g.num_pages)
-        good = rows.where("reject_code is null")
-        order = F.col("seq") * 2
-        ops = good.where("mode = 'w'").select("shard", order.alias("phase"), F.col("block_idx").alias("at"), F.lit("q").alias("op"), "block_key")
-        ops = ops.unionByName(good.select("shard", (order + 1).alias("phase"), F.col("block_idx").alias("at"), F.col("mode").alias("op"), "block_key"))
-        done = lru.replay(ops, g.slots_per_shard, ("phase", "at")).where("op <> 'q'")
-        done = done.select(F.floor(F.col("phase") / 2).cast("bigint").alias("seq"), F.col("at").alias("block_idx"), "hit", "slot", "evicted")
-        out = tasks.outcomes(good.join(done, ["seq", "block_idx"]))
-        bad = rows.where("reject_code is not null").select(*rows.columns, F.lit(False).alias("hit"), F.lit(-1).cast("bigint").alias("slot"), F.lit(None).cast("string").alias("evicted"), F.lit(tasks.ABORTED).alias("state"), F.lit(False).alias("stored"))
-        return out.select(*bad.columns).unionByName(bad)
+        ops = F.when(F.col("reject_code").isNotNull(), F.array(F.lit("x"))).when(F.col("mode") == "w", F.array(F.lit("q"), F.lit("w"))).otherwise(F.array(F.lit("r")))
+        trace = rows.withColumn("op", F.explode(ops)).withColumn("phase", F.col("seq") * 2 + (F.col("op") != "q").cast("int"))
+        carried = ("task_id", "seq", "mode", "n_tokens", "pages", "reject_code")
+        done = lru.replay(trace, g.slots_per_shard, ("phase", "block_idx"), carried).where("op <> 'q'")
+        bad = F.col("reject_code").isNotNull()
+        out = tasks.outcomes(done.withColumn("hit", ~bad & F.col("hit")).withColumn("slot", F.when(bad, F.lit(-1).cast("bigint")).otherwise(F.col("slot"))))
+        return out.withColumn("state", F.when(bad, tasks.ABORTED).otherwise(F.col("state"))).drop("op", "phase")
 
     def already(self, requests: DataFrame, resident: DataFrame) -> DataFrame:
         """(task_id, block_idx, pos, page_idx) of pages whose block is already resident, for writes."""
