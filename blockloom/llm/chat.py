@@ -104,7 +104,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = rows.where("role = 'user'").select("call_id", identifier(F.col("turn") - 2).alias("parent_id"), F.lit("respond").alias("tool"), arguments.alias("arguments"))
     results = rows.where("role = 'assistant'").select("call_id", F.col("text").alias("content"))
     found = linked(calls, results, SCHEMAS).select("call_id", "answered", "level", "errors", F.col("json").alias("call_json"))
-    out = rows.join(found, "call_id", "left")
+    # Rows without an identifier have nothing to meet and stay out of the join, where they would be one group.
+    alone = rows.where("call_id is null").select("*", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns if c != "call_id"))
+    out = rows.where("call_id is not null").join(found, "call_id", "left").unionByName(alone)
     kind = F.when(F.col("call_json").isNull(), F.when(F.col("role") == "assistant", "orphan").otherwise("message")).when(F.col("role") == "user", "call").otherwise("result")
     plain = F.to_json(F.struct("role", "text"))
     json = F.when(kind == "call", F.col("call_json")).when(kind == "result", F.to_json(F.struct("call_id", "role", "text"))).otherwise(plain)
