@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import table
+from blockloom.llm.common import table, written
 
 #: Rows of one ordering bucket: 2 to this power consecutive ids.
 BUCKET_BITS = 9
@@ -85,11 +85,13 @@ def with_next(df: DataFrame, lo: int, hi: int) -> DataFrame:
     takes the head of the next bucket that has rows, which the same rule finds
     among the heads.  Equal k are ordered by v.
     """
-    if (hi >> BUCKET_BITS) == (lo >> BUCKET_BITS):
+    if hi - lo < 1 << BUCKET_BITS:
         whole = Window.partitionBy(F.lit(0)).orderBy(F.col("k").desc(), "v")
         return df.withColumn("v_next", F.coalesce(F.lead("v").over(whole), F.first("v").over(whole)))
     rows = df.withColumn("b", F.shiftright("k", BUCKET_BITS))
     heads = rows.groupBy("b").agg(F.min(F.struct(F.bitwise_not("k").alias("r"), "v")).alias("h")).select(F.col("b").alias("k"), F.col("h.v").alias("v"))
+    if (hi >> BUCKET_BITS) - (lo >> BUCKET_BITS) >= 1 << BUCKET_BITS:
+        heads = written(heads, "heads")  # else each level would double the plan
     after = with_next(heads, lo >> BUCKET_BITS, hi >> BUCKET_BITS).select(F.col("k").alias("b"), F.col("v_next").alias("head"))
     own = Window.partitionBy("b").orderBy(F.col("k").desc(), "v")
     return rows.withColumn("lead", F.lead("v").over(own)).join(after, "b", "left").withColumn("v_next", F.coalesce("lead", "head")).drop("b", "lead", "head")

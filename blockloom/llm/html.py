@@ -40,8 +40,8 @@ from blockloom.llm.words import slices
 FIT_PAGES = 400
 #: Weights of words lie between these; tags weigh at most LEAST_TAG.
 WORST, BEST, LEAST_TAG = -4.0, 2.0, -0.1
-#: What a stretch without content costs at most, so that an advert amid an article doesn't part it.
-STRETCH = -8.0
+#: What a stretch without content costs at most: between blocks, and in an element that marks the content, where an advert doesn't part it.
+STRETCH, INNER_STRETCH = -3.0, -0.1
 
 #: Elements whose content is no markup, that are never content, and that start a line.
 RAW = frozenset("script style".split())
@@ -137,6 +137,10 @@ def parts(page: str) -> list[Part]:
                 open_.append((tag, dead or gone, marked or tag in ("article", "main"), tag if tag in BLOCKS else where))
         if tag in BLOCKS:
             block += 1
+    if any(p.marked for p in out):
+        for p in out:
+            if p.text and not p.marked and not p.dead:
+                p.name = "outside"  # of the content, on a page that marks it
     return out
 
 
@@ -148,7 +152,7 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
     def word(self, name: str) -> float:
-        return self.words.get(name, WORST if name == "dead" else 0.5)
+        return self.words.get(name, WORST if name == "dead" else -2.0 if name == "outside" else 0.5)
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, LEAST_TAG)
@@ -157,7 +161,7 @@ class Weights:
 def learned(pages: list[str | None]) -> Weights:
     """Weights from the pages that mark their content; others are passed over."""
     words: dict[str, list[float]] = defaultdict(lambda: [2.0, 1.0])
-    words["dead"] = [1.0, 50.0]
+    words["dead"], words["outside"] = [1.0, 50.0], [1.0, 10.0]
     tags: dict[str, list[float]] = defaultdict(lambda: [1.0, 1.0])
     tags["dead"] = [1.0, 10.0]
     for page in pages:
@@ -185,14 +189,14 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def scores_of(seq: list[Part], weights: Weights) -> list[float]:
-    out, left = [], STRETCH
+    out, left = [], 0.0
     for p in seq:
         s = weights.word(p.name) * len(p.text.split()) if p.text else weights.tag(p.name)
         if p.dead:
-            s = max(s, left)
-            left -= s
+            s = max(s, left if left else INNER_STRETCH if p.marked else STRETCH)
+            left = min(-1e-9, (left or (INNER_STRETCH if p.marked else STRETCH)) - s)
         else:
-            left = STRETCH
+            left = 0.0
         out.append(s)
     return out
 

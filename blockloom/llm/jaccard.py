@@ -20,7 +20,9 @@ similarity of 0.8 or more.
 Defined cases: words are runs of characters other than ASCII white space,
 unchanged; a text of one to four words is one shingle; texts without words
 (null, empty, blank) link to nothing and are classes of their own; rows that
-repeat count as documents of their own.  Extra columns are ignored.
+repeat an id are one document, with the least of their texts, and get the same
+result; rows without an id link to nothing and have a null class.  Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ THRESHOLD = 0.8
 #: MinHash values of a text, and of a band.
 HASHES, BAND = 128, 4
 #: A pair goes when the posterior probability of reaching the threshold is below this.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-9
 STEPS = (16, 32, 64, 128)
 #: Texts that one task compares with one another.
 MOST = 1024
@@ -241,8 +243,18 @@ def _tasks(df: DataFrame) -> int:
 def similarity_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of ``df``: ``doc_id``, ``class_id`` (the least doc_id of its component), ``n_links`` (other documents at the threshold or above, copies included), ``n_copies`` (other documents of the same word sequence)."""
     ship(df.sparkSession)
+    every = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = every.where("doc_id is not null")
+    if not every.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        found = _classes(rows.groupBy("doc_id").agg(F.min("text").alias("text")), threshold)
+        out = every.select("doc_id").join(found, "doc_id", "left")
+        return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
+    return _classes(rows, threshold)
+
+
+def _classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """``similarity_classes`` of rows (doc_id, text) whose ids are distinct and not null."""
     least = least_matches(threshold)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -293,7 +305,7 @@ def similarity_classes(df: DataFrame, id_col: str, text_col: str, threshold: flo
     # Bands of the same texts mostly have the same members: each set is compared once.
     sets = shared.where(F.col("m") <= MOST).groupBy("bucket").agg(F.array_sort(F.collect_set("rep")).alias("members")).select("members").distinct()
     listed = sets.select(F.xxhash64("members").alias("set"), F.explode("members").alias("rep"))
-    pruned = listed.join(small, "rep").select("set", "rep", "sig").repartition(_tasks(df), "set").groupBy("set").applyInArrow(tie, "a long, b long")
+    pruned = listed.join(small, "rep").select("set", "rep", "sig").repartition(_tasks(rows), "set").groupBy("set").applyInArrow(tie, "a long, b long")
     whole = shared.where(F.col("m") > MOST).select(F.col("head").alias("a"), F.col("rep").alias("b"))
     tied = components(pruned.unionByName(whole).distinct(), "tied")
 

@@ -216,7 +216,7 @@ def candidates(data: bytes, offsets: np.ndarray) -> np.ndarray:
         at = data.find(root)
         while at >= 0:
             text = int(np.searchsorted(offsets, at, "right")) - 1
-            if not hit[text] and (root != b"cc" or _CC.search(data, int(offsets[text]), int(offsets[text + 1]))):
+            if not hit[text] and (root != b"cc" or _CC.search(data[offsets[text] : offsets[text + 1]])):
                 hit[text] = True
             at = data.find(root, int(offsets[text + 1]))
     return np.flatnonzero(hit)

@@ -168,7 +168,8 @@ class MediaReader(DataSourceReader):
         fs, path = opened(self.folder)
         found = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
         files = sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and f.path.endswith(".zip"))
-        return [Range(p, at, at + self.range_bytes) for p, size in files for at in range(0, size, self.range_bytes)]
+        # Spark wants one partition at least.
+        return [Range(p, at, at + self.range_bytes) for p, size in files for at in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
 
     def member(self, f, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         """(bytes, error) of one member, read at its own offset."""
@@ -191,6 +192,8 @@ class MediaReader(DataSourceReader):
         return None, error
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if not partition.archive:
+            return
         fs, _ = opened(self.folder)
         rows: list[tuple] = []
         held = 0
