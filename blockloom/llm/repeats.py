@@ -40,20 +40,22 @@ WINDOW = 35
 #: Bytes of text in a chunk, and text bytes for each hash range.
 CHUNK_BYTES = 2 << 20
 RANGE_BYTES = 3 << 20
-#: Bits of a block hash that are sent; a chance hit only makes a candidate that the 96-bit hashes then reject.
-ANCHOR_BITS = 48
+#: Bits of a block hash that are sent beyond those that number the windows: one in 2 to this power anchors is a chance hit, a candidate that the 96-bit hashes then reject.
+SPARE_BITS = 14
 
 SENT = "part int, chunk int, a binary, b binary, c binary"
 
 
 def deltas(values: np.ndarray) -> bytes:
-    """Ascending uint64 values as bytes: 32-bit steps where they fit."""
+    """Ascending uint64 values as bytes: the first, then 32-bit steps by byte planes, where they fit."""
     if not len(values):
         return b""
     steps = np.diff(values)
     if len(steps) and int(steps.max()) >> 32:
         return b"\x01" + values.tobytes()
-    return b"\x00" + values[:1].tobytes() + steps.astype(np.uint32).tobytes()
+    # The high plane is nearly constant, which the shuffle's compression takes out.
+    planes = steps.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return b"\x00" + values[:1].tobytes() + planes.tobytes()
 
 
 def undeltas(data: bytes) -> np.ndarray:
@@ -61,10 +63,10 @@ def undeltas(data: bytes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if data[0]:
         return np.frombuffer(data, np.uint64, offset=1)
-    steps = np.frombuffer(data, np.uint32, offset=9)
-    out = np.empty(len(steps) + 1, np.uint64)
+    planes = np.frombuffer(data, np.uint8, offset=9).reshape(4, -1)
+    out = np.empty(planes.shape[1] + 1, np.uint64)
     out[0] = np.frombuffer(data, np.uint64, 1, 1)[0]
-    np.cumsum(steps, dtype=np.uint64, out=out[1:])
+    np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64, out=out[1:])
     out[1:] += out[0]
     return out
 
@@ -85,8 +87,8 @@ def ranges(n: int, bits: int) -> np.ndarray:
 class Chunk:
     """The words, anchors and candidate windows of one chunk of texts."""
 
-    def __init__(self, texts: pa.ChunkedArray, width: int) -> None:
-        self.width, self.block = width, (width + 1) // 2
+    def __init__(self, texts: pa.ChunkedArray, width: int, bits: int) -> None:
+        self.width, self.block, self.bits = width, (width + 1) // 2, bits
         self.buf, self.offsets = flat(texts)
         self.starts, self.ends, self.first = spans(self.buf, self.offsets)
         self.words = word_hashes(self.buf, self.starts, self.ends)
@@ -94,7 +96,7 @@ class Chunk:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rolling, at, hashes): the hashes of all block-wide windows; the starts of reference blocks and their hashes."""
         whole = mask_inside(self.first, self.block)
-        all_hashes = window_hashes(self.words, self.block) >> np.uint64(64 - ANCHOR_BITS)
+        all_hashes = window_hashes(self.words, self.block) >> np.uint64(64 - self.bits)
         counts = np.diff(self.first) // self.block
         at = np.repeat(self.first[:-1], counts) + self.block * (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts))
         return all_hashes[whole], at, all_hashes[at] if len(at) else np.zeros(0, np.uint64)
@@ -158,10 +160,10 @@ def _cuts(values: np.ndarray, bounds: np.ndarray) -> list[int]:
     return [0, *np.searchsorted(values, bounds).tolist(), len(values)]
 
 
-def probe(texts: pa.ChunkedArray, chunk: int, n_parts: int, width: int) -> list[tuple]:
+def probe(texts: pa.ChunkedArray, chunk: int, n_parts: int, width: int, bits: int) -> list[tuple]:
     """Pass 1 for one chunk: (range, chunk, rolling hashes, those that occur twice, block hashes)."""
-    rolling, _, blocks = Chunk(texts, width).anchors()
-    bounds = ranges(n_parts, ANCHOR_BITS)
+    rolling, _, blocks = Chunk(texts, width, bits).anchors()
+    bounds = ranges(n_parts, bits)
     rolling = np.sort(rolling)
     fresh = np.ones(len(rolling), bool)
     fresh[1:] = rolling[1:] != rolling[:-1]
@@ -196,12 +198,12 @@ def _bits(values: np.ndarray, n_parts: int, bits: int, said: dict[int, bytes]) -
     return np.concatenate(found) if found else np.zeros(0, bool)
 
 
-def extend(texts: pa.ChunkedArray, said: pa.Table, chunk: int, n_parts: int, width: int) -> list[tuple]:
+def extend(texts: pa.ChunkedArray, said: pa.Table, chunk: int, n_parts: int, width: int, bits: int) -> list[tuple]:
     """Pass 2 for one chunk: (range, chunk, high hashes, low hashes, -) and, under a range of its own, which reference blocks are anchored."""
-    c = Chunk(texts, width)
+    c = Chunk(texts, width, bits)
     _, at, blocks = c.anchors()
     distinct, inverse = np.unique(blocks, return_inverse=True)
-    anchored = _bits(distinct, n_parts, ANCHOR_BITS, _answers(said, "a"))[inverse] if len(blocks) else np.zeros(0, bool)
+    anchored = _bits(distinct, n_parts, bits, _answers(said, "a"))[inverse] if len(blocks) else np.zeros(0, bool)
     starts = c.candidates(at, anchored)
     if not len(starts):
         return []
@@ -230,9 +232,9 @@ def repeated(t: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def remove(texts: pa.ChunkedArray, said: pa.Table, chunk: int, n_parts: int, width: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def remove(texts: pa.ChunkedArray, said: pa.Table, chunk: int, n_parts: int, width: int, bits: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Pass 3 for one chunk: for each text its words, how many go, and the text of those that stay."""
-    c = Chunk(texts, width)
+    c = Chunk(texts, width, bits)
     answers = _answers(said, "a")
     gone = np.zeros(len(c.words), bool)
     if (own := answers.pop(-1 - chunk, None)) is not None:
@@ -254,22 +256,24 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, width: int = WINDOW,
     ship(df.sparkSession)
     n_chunks = parts_for(df, text_col, CHUNK_BYTES)
     n_parts = max(1, n_chunks * CHUNK_BYTES // RANGE_BYTES)
+    # Words are fewer than bytes, so these bits number all windows and leave some to spare.
+    bits = min(63, SPARE_BITS + (n_chunks * CHUNK_BYTES // 4).bit_length())
     extra = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
     spread = rows.groupBy("chunk")
 
     def first(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        return _rows(probe(t["text"], key[0].as_py(), n_parts, width))
+        return _rows(probe(t["text"], key[0].as_py(), n_parts, width, bits))
 
     def second(key: tuple[pa.Scalar, ...], t: pa.Table, said: pa.Table) -> pa.Table:
-        return _rows(extend(t["text"], said, key[0].as_py(), n_parts, width) if t.num_rows else [])
+        return _rows(extend(t["text"], said, key[0].as_py(), n_parts, width, bits) if t.num_rows else [])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(["doc_id " + kinds["doc_id"], "n_words long", "n_removed long", "kept_text string", *(f"carry_{i} {kinds[f'carry_{i}']}" for i in range(len(carry)))])
 
     def third(key: tuple[pa.Scalar, ...], t: pa.Table, said: pa.Table) -> pa.Table:
-        n, gone, kept = remove(t["text"], said, key[0].as_py(), n_parts, width)
+        n, gone, kept = remove(t["text"], said, key[0].as_py(), n_parts, width, bits)
         return pa.table([t["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), kept, *(t[f"carry_{i}"] for i in range(len(carry)))], names=["doc_id", "n_words", "n_removed", "kept_text", *(f"carry_{i}" for i in range(len(carry)))])
 
     hits = spread.applyInArrow(first, SENT).groupBy("part").applyInArrow(anchor, SENT)
