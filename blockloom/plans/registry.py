@@ -437,7 +437,16 @@ def bytes_counters(spark: SparkSession, sf: str) -> DataFrame:
     return done.groupBy("op").agg((F.count_if(F.expr("op = 'w' and not hit and slot >= 0")) * 524288).alias("written"), (F.count_if(F.expr("op = 'r' and hit")) * 524288).alias("read"))
 
 
-# --- extensions without SQL ----------------------------------------------------------
+# --- extensions ----------------------------------------------------------
+
+
+@_register("lru_online", f"{_SQL_REPLAY} SELECT shard, epoch_us(ts) AS seq, op, block_key, hit, slot, evicted FROM replayed")
+def lru_online(spark: SparkSession, sf: str) -> DataFrame:
+    """The trace as a stream: the same replay as keyed state, run until what is there is taken."""
+    from blockloom.streaming.online import replay_available
+
+    rows = trace(spark, sf).select("shard", F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), "op", "block_key")
+    return replay_available(rows, SLOTS)
 
 
 @_register("xxh3_keys", None)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -44,3 +47,20 @@ class LruProcessor(StatefulProcessor):
 def online(trace: DataFrame, capacity: int) -> DataFrame:
     """A streaming ``trace`` (shard, seq, op, block_key) replayed; needs the RocksDB state store."""
     return trace.groupBy("shard").transformWithStateInPandas(LruProcessor(capacity), OUT, "Append", "None")
+
+
+def replay_available(trace: DataFrame, capacity: int) -> DataFrame:
+    """A batch ``trace`` put through the stream in one trigger: written to the shared folder, streamed, and read back."""
+    spark = trace.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="blockloom-")
+    top = f"{shared.rstrip('/')}/blockloom/online-{uuid.uuid4().hex}"
+    trace.write.parquet(f"{top}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = online(spark.readStream.schema(trace.schema).parquet(f"{top}/in"), capacity).writeStream.format("parquet").outputMode("append")
+        stream.option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(OUT).parquet(f"{top}/out")
