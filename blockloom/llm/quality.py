@@ -37,7 +37,7 @@ from blockloom.llm.words import byte_class, flat, mix, slices, spans, word_hashe
 FIT_ROWS = 6000
 GRADES = 3
 #: Share of held-out clean documents that the selection keeps.
-KEEP = 0.995
+KEEP = 0.998
 WORD_BITS, TAIL_BITS = 18, 12
 STEPS, RATE, SHRINK = 250, 0.1, 1e-4
 #: Values of a word's presence and of a share of one.
