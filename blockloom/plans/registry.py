@@ -15,7 +15,7 @@ from blockloom.functions.geometry import DEFAULT_LIMIT, MOST_PAGES, Geometry
 from blockloom.functions.keys import shard_of, word_tokens
 from blockloom.operators import blocks as B
 from blockloom.operators import lru, metrics, movement, tasks
-from blockloom.sources.tables import table
+from blockloom.sources.tables import spread, table
 
 #: Tokens of a block, shards, slots of a shard and pages of the page table.
 N, SHARDS, SLOTS, PAGES = 64, 4, 16, 500
@@ -30,7 +30,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """A request per document; start positions and modes follow from its id."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("task_id"), "lang", "source", word_tokens(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    # A generator of one row: expressions above it use the tokens made there instead of making them again.
+    docs = docs.select(F.col("doc_id").alias("task_id"), "lang", "source", F.explode(F.array(word_tokens(F.col("text")))).alias("tokens"))
     pages = F.when(F.size("tokens") > 0, F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: ((F.col("task_id") * 31 + i * 7) % PAGES).cast("int"))).otherwise(F.array().cast("array<int>"))
     return docs.withColumn("page_idx", pages).withColumn("mode", F.when(F.col("task_id") % 3 == 2, "r").otherwise("w")).withColumn("start_pos", ((F.col("task_id") % 4) * 50).cast("int")).withColumn("seq", F.col("task_id"))
 
@@ -124,7 +126,7 @@ def _other_keys(name: str, id_cols: tuple[str, ...], text: str) -> None:
 
     @_register(f"chunk_keys_{name}", sql)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = table(spark, sf, name).select(*id_cols, word_tokens(F.col(text)).alias("tokens"))
+        rows = spread(table(spark, sf, name).select(*id_cols, text)).select(*id_cols, word_tokens(F.col(text)).alias("tokens"))
         return B.block_rows(rows, N, *id_cols).select(*id_cols, "block_idx", "block_key")
 
 
