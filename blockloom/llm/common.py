@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.sources.tables import spread
 
 _shipped: set[str] = set()
 
@@ -24,14 +25,14 @@ def ship(spark: SparkSession) -> None:
     top = Path(__file__).resolve().parents[1]
     target = Path(tempfile.mkdtemp(prefix="blockloom-")) / "blockloom_llm.zip"
     with zipfile.ZipFile(target, "w") as z:
-        for p in [top / "__init__.py", *sorted((top / "llm").glob("*.py"))]:
+        for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
     sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,10 +49,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/blockloom/{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all tables and archives that this application wrote; its earlier results can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as a parquet table in the shared folder and read it back: lineage ends there.
+
+    Results are lazy and read these tables, so they stay until ``discard``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/blockloom/{what}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from blockloom.llm.common import shared_dir, ship, table
+from blockloom.llm.common import own_dir, ship, table
 from blockloom.llm.words import slices
 
 #: Samples of an image row; payloads are padded to a multiple of it.
@@ -131,7 +131,10 @@ def archived(df: DataFrame, id_col: str, text_col: str, folder: str) -> None:
         if archive is not None:
             archive.close()
             stream.close()
-            fs.move(mine, final)
+            if fs.get_file_info(final).type == pafs.FileType.NotFound:
+                fs.move(mine, final)
+            else:  # an earlier run of this task has put the same archive there
+                fs.delete_file(mine)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
@@ -250,6 +253,6 @@ def described(stored: DataFrame) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an image in an archive, read back and described."""
-    folder = f"{shared_dir(spark)}/blockloom/media-{uuid.uuid4().hex}"
+    folder = f"{own_dir(spark)}/media-{uuid.uuid4().hex}"
     archived(table(spark, sf_dir, "documents"), "doc_id", "text", folder)
     return described(members(spark, folder)).drop("error")
