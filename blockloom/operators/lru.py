@@ -94,15 +94,24 @@ def final_residents(replayed: DataFrame, seq: tuple[str, str]) -> DataFrame:
     return ins.join(last, ["shard", "block_key"], "left").where("gone is null or gone < i.at").select("shard", "block_key", F.col("i.slot").alias("slot"))
 
 
+#: Positions of a shard's trace that the stack-distance join takes together.
+STRETCH = 64
+
+
 def write_only_hits(trace: DataFrame, capacity: int, order: list[str]) -> DataFrame:
-    """Hits of a trace of writes by stack distance, without a fold: a key is resident if fewer than ``capacity`` distinct others came since it last did."""
+    """Hits of a trace of writes by stack distance, without a fold: a key is resident if fewer than ``capacity`` distinct others came since it last did.
+
+    Those others are the rows in between whose own last place lies before it.
+    The range join goes by stretches of positions; its rows are the total
+    length of all reuse windows, so it is a cross-check, not the way large
+    traces are replayed.
+    """
     by_shard = Window.partitionBy("shard").orderBy(*order)
     by_key = Window.partitionBy("shard", "block_key").orderBy("pos")
     rows = trace.withColumn("pos", F.row_number().over(by_shard).cast("bigint")).withColumn("prev", F.lag("pos").over(by_key))
-    # Distinct keys since prev are rows in between whose own prev lies before it.
-    a, b = rows.alias("a"), rows.select("shard", "pos", "prev").alias("b")
-    near = (F.col("a.shard") == F.col("b.shard")) & (F.col("b.pos") > F.col("a.prev")) & (F.col("b.pos") < F.col("a.pos")) & (F.coalesce("b.prev", F.lit(0)) <= F.col("a.prev"))
-    # A chain of capacity + 1 rows is enough to know a miss; the join is bounded by the shard's reuse windows.
-    dist = a.where("prev is not null").join(b, near, "left").groupBy("a.shard", "a.pos").agg(F.count("b.pos").alias("d"))
-    known = dist.select(F.col("shard"), F.col("pos"), (F.col("d") < capacity).alias("near"))
-    return rows.join(known, ["shard", "pos"], "left").withColumn("hit", F.coalesce("near", F.lit(False)) & F.lit(capacity > 0)).drop("near", "prev", "pos")
+    reach = rows.where("prev is not null").select("shard", F.col("pos").alias("at"), F.col("prev").alias("since"), F.explode(F.sequence(F.expr(f"prev div {STRETCH}"), F.expr(f"pos div {STRETCH}"))).alias("stretch"))
+    seen = rows.select("shard", "pos", F.coalesce("prev", F.lit(0)).alias("own"), F.expr(f"pos div {STRETCH}").alias("stretch"))
+    near = seen.join(reach, ["shard", "stretch"]).where("pos > since and pos < at and own <= since")
+    dist = near.groupBy("shard", "at").agg(F.count("*").alias("d")).withColumnRenamed("at", "pos")
+    out = rows.join(dist, ["shard", "pos"], "left")
+    return out.withColumn("hit", F.col("prev").isNotNull() & (F.coalesce("d", F.lit(0)) < capacity)).drop("d", "prev", "pos")

@@ -17,8 +17,8 @@ from blockloom.operators import blocks as B
 from blockloom.operators import lru, metrics, movement, tasks
 from blockloom.sources.tables import spread, table
 
-#: Tokens of a block, shards, slots of a shard and pages of the page table.
-N, SHARDS, SLOTS, PAGES = 64, 4, 16, 500
+#: Tokens of a block, shards and slots of a shard.
+N, SHARDS, SLOTS = 64, 4, 16
 #: Keys that the trace touches.
 KEYS = 200
 
@@ -28,12 +28,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 # --- tables of the domain -------------------------------------------------
 
 
+def num_pages(spark: SparkSession, sf: str) -> int:
+    """Pages of the page table: one per embedding."""
+    return table(spark, sf, "embeddings").agg(F.max("vec_id").alias("m")).first()["m"] + 1
+
+
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """A request per document; start positions and modes follow from its id."""
+    """A request per document; start positions, page pointers and modes follow from its id."""
+    n = num_pages(spark, sf)
     docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
     # A generator of one row: expressions above it use the tokens made there instead of making them again.
     docs = docs.select(F.col("doc_id").alias("task_id"), "lang", "source", F.explode(F.array(word_tokens(F.col("text")))).alias("tokens"))
-    pages = F.when(F.size("tokens") > 0, F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: ((F.col("task_id") * 31 + i * 7) % PAGES).cast("int"))).otherwise(F.array().cast("array<int>"))
+    pages = F.when(F.size("tokens") > 0, F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: ((F.col("task_id") * 31 + i * 7) % n).cast("int"))).otherwise(F.array().cast("array<int>"))
     return docs.withColumn("page_idx", pages).withColumn("mode", F.when(F.col("task_id") % 3 == 2, "r").otherwise("w")).withColumn("start_pos", ((F.col("task_id") % 4) * 50).cast("int")).withColumn("seq", F.col("task_id"))
 
 
@@ -44,7 +50,7 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 def kv_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Page payloads: the digest of a vector's values in millionths."""
     digits = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6).cast("bigint").cast("string"))
-    return table(spark, sf, "embeddings").where(f"vec_id < {PAGES}").select(F.col("vec_id").cast("int").alias("page_idx"), F.md5(F.array_join(digits, ",").cast("binary")).alias("payload"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("page_idx"), F.md5(F.array_join(digits, ",").cast("binary")).alias("payload"))
 
 
 def trace(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,16 +69,16 @@ _SQL_KEY = "md5(array_to_string({0}, ','))"
 _SQL_SHARD = f"(('0x' || substr({{0}}, 1, 8))::BIGINT % {SHARDS})"
 _SQL_REQUESTS = f"""requests AS (
   SELECT doc_id AS task_id, doc_id AS seq, lang, source, tokens,
-    list_transform(range(0, len(tokens)), lambda i: ((doc_id * 31 + i * 7) % {PAGES})::INT) AS page_idx,
+    list_transform(range(0, len(tokens)), lambda i: ((doc_id * 31 + i * 7) % np)::INT) AS page_idx,
     CASE WHEN doc_id % 3 = 2 THEN 'r' ELSE 'w' END AS mode, ((doc_id % 4) * 50)::INT AS start_pos
-  FROM (SELECT *, {_SQL_TOKENS.format("text")} AS tokens FROM documents))"""
+  FROM (SELECT *, {_SQL_TOKENS.format("text")} AS tokens FROM documents), (SELECT max(vec_id) + 1 AS np FROM embeddings))"""
 _SQL_BLOCKS = f"""{_SQL_REQUESTS}, cut AS (
   SELECT *, unnest(range(0, (len(tokens) + {N - 1}) // {N})) AS b FROM requests), blocks AS (
   SELECT task_id, seq, lang, source, mode, b AS block_idx, {_SQL_KEY.format(f"tokens[b*{N}+1 : b*{N}+{N}]")} AS block_key,
     len(tokens[b*{N}+1 : b*{N}+{N}])::BIGINT AS n_tokens, page_idx[b*{N}+1 : b*{N}+{N}] AS pages FROM cut)"""
 _SQL_PAGES = f"""kv AS (
   SELECT vec_id::INT AS page_idx, md5(array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1e6)::BIGINT), ',')) AS payload
-  FROM embeddings WHERE vec_id < {PAGES})"""
+  FROM embeddings)"""
 _SQL_TRACE = f"""trace AS (
   SELECT ts, event_id, user_id, event_type, CASE event_id % 4 WHEN 0 THEN 'q' WHEN 1 THEN 'r' ELSE 'w' END AS op,
     md5((user_id % {KEYS})::VARCHAR) AS block_key, {_SQL_SHARD.format(f"md5((user_id % {KEYS})::VARCHAR)")} AS shard FROM events)"""
@@ -266,14 +272,10 @@ def lru_write_only(spark: SparkSession, sf: str) -> DataFrame:
     return lru.replay(trace(spark, sf).where("op = 'w'"), SLOTS, ("ts", "event_id")).select("shard", "event_id", "block_key", "hit")
 
 
-@_register("lru_stack_distance", f"WITH RECURSIVE {_SQL_TRACE}, {_SQL_WRITES}, {_fold_sql('writes', SLOTS)} SELECT shard, event_id, block_key, hit FROM replayed WHERE event_id < 4000")
+@_register("lru_stack_distance", f"WITH RECURSIVE {_SQL_TRACE}, {_SQL_WRITES}, {_fold_sql('writes', SLOTS)} SELECT shard, event_id, block_key, hit FROM replayed")
 def lru_stack_distance(spark: SparkSession, sf: str) -> DataFrame:
-    """The same hits without a fold, by the stack distance of every write; a check of the replay, over the trace's first 4000 events in id order.
-
-    The distance join is quadratic in a key's reuse window: it is a
-    cross-check, not the way large traces are replayed.
-    """
-    return lru.write_only_hits(trace(spark, sf).where("op = 'w' and event_id < 4000"), SLOTS, ["ts", "event_id"]).select("shard", "event_id", "block_key", "hit")
+    """The same hits without a fold, by the stack distance of every write: a check of the replay."""
+    return lru.write_only_hits(trace(spark, sf).where("op = 'w'"), SLOTS, ["ts", "event_id"]).select("shard", "event_id", "block_key", "hit")
 
 
 @_register("lru_zero_slots", f"WITH {_SQL_TRACE} SELECT shard, event_id, false AS hit, -1::BIGINT AS slot FROM trace")
@@ -337,10 +339,10 @@ def round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.agg(F.count("*").alias("n_moves"), F.count_if(F.col("page") == F.col("payload")).alias("n_equal"))
 
 
-@_register("range_reject", f"WITH {_SQL_BLOCKS} SELECT task_id, block_idx, CASE WHEN list_max(pages) >= 400 THEN 'page_range' END AS reject_code FROM blocks")
+@_register("range_reject", f"WITH {_SQL_BLOCKS} SELECT task_id, block_idx, CASE WHEN list_max(pages) >= (SELECT (max(vec_id) + 1) * 4 // 5 FROM embeddings) THEN 'page_range' END AS reject_code FROM blocks")
 def range_reject(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks that point beyond a page table of 400 pages."""
-    return movement.out_of_range(blocks(spark, sf), 400).select("task_id", "block_idx", "reject_code")
+    """Blocks that point beyond a page table of four fifths of the pages."""
+    return movement.out_of_range(blocks(spark, sf), num_pages(spark, sf) * 4 // 5).select("task_id", "block_idx", "reject_code")
 
 
 @_register("short_blocks", f"WITH {_SQL_BLOCKS} SELECT n_tokens, count(*) AS n_blocks, count(DISTINCT block_key) AS n_keys FROM blocks WHERE n_tokens < {N} GROUP BY n_tokens")
@@ -465,7 +467,7 @@ def service_create(spark: SparkSession, sf: str) -> DataFrame:
     """All requests replayed through the batch service: validation, queries, writes, reads, states."""
     from blockloom.service import BlockCache
 
-    cache = BlockCache(Geometry(page_bytes=8192, num_pages=PAGES, storage_bytes=256 << 20, num_shard=8))
+    cache = BlockCache(Geometry(page_bytes=8192, num_pages=num_pages(spark, sf), storage_bytes=256 << 20, num_shard=8))
     return cache.create(requests(spark, sf)).select("task_id", "block_idx", "mode", "hit", "slot", "evicted", "state", "stored", "reject_code")
 
 
