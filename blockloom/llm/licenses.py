@@ -101,12 +101,16 @@ NOTICES = (
     ("licensed", r"licen[sc]ed under", "licen", 5, 0.3),
     ("licensed", r"(?:under|see|subject to) the (?:terms of the )?licen[sc]e", "licen", 5, 0.2),
 )
-#: Roots, one of which every keyword's rule and base phrase needs in the raw bytes.
+#: Roots, one of which a base phrase and most rules' keywords need in the raw bytes; ``roots`` adds those of the other keywords.
 ROOTS = (b"licen", b"copyright", b"reserved", b"public", b"reproduced", b"unauthori", b"proprietary", b"hereby", b"redistribution", b"permission", b"warrant", b"provided", b"cc", b"creative", b"spdx", b"commons", b"gpl", b"mpl", b"apache", b"eupl", b"cddl", b"gfdl", b"odbl", b"pddl", b"wtfpl", b"odc", b"openrail")
 
 WORD = byte_class(bytes([*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)]))
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 _CC = re.compile(rb"(?<![0-9a-z\x80-\xff])cc(?:0|[^0-9a-z\x80-\xff]+by(?![0-9a-z\x80-\xff]))")
+#: What a text with such a root must match: the word alone is no license, or the root lies in many plain words.
+_NEEDS = {b"cc": _CC} | {r: re.compile(rb"(?<![0-9a-z\x80-\xff])" + r + rb"(?![0-9a-z\x80-\xff])") for r in (b"epl", b"ofl")}
+_GAP = rb"[^0-9a-z\x80-\xff]+"
+_NEEDS[b"mit"] = re.compile(rb"under" + _GAP + rb"(?:the" + _GAP + rb")?(?:terms" + _GAP + rb"of" + _GAP + rb"(?:the" + _GAP + rb")?)?mit(?![0-9a-z\x80-\xff])")
 _BASE = [(re.compile(rb"(?<![^ ])" + p.encode() + rb"(?![^ ])"), label) for p, label in BASE.items()]
 
 RESULT = "doc_id {}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -173,6 +177,12 @@ def rules_by_keyword() -> list[tuple[bytes, list[tuple[int, Rule]]]]:
     return list(out.items())
 
 
+@lru_cache(maxsize=1)
+def roots() -> tuple[bytes, ...]:
+    """``ROOTS`` and, for every keyword that holds none of them, its longest word."""
+    return (*ROOTS, *sorted({max(k.split(), key=len) for k, _ in rules_by_keyword() if not any(r in k for r in ROOTS)}))
+
+
 def detections(joined: bytes) -> list[tuple[int, int, Rule]]:
     """Accepted detections (start, end, rule) in words joined by single spaces."""
     found = [(-r.priority, m.start() - m.end(), m.start(), i, m.end()) for k, own in rules_by_keyword() if k in joined for i, r in own for m in r.pattern.finditer(joined)]
@@ -212,11 +222,12 @@ def scan(text: bytes) -> tuple[int, int | None, int | None, str, str, float]:
 def candidates(data: bytes, offsets: np.ndarray) -> np.ndarray:
     """Texts of lower-cased ``data`` that hold a root."""
     hit = np.zeros(len(offsets) - 1, bool)
-    for root in ROOTS:
+    for root in roots():
+        need = _NEEDS.get(root)
         at = data.find(root)
         while at >= 0:
             text = int(np.searchsorted(offsets, at, "right")) - 1
-            if not hit[text] and (root != b"cc" or _CC.search(data[offsets[text] : offsets[text + 1]])):
+            if not hit[text] and (need is None or need.search(data[offsets[text] : offsets[text + 1]])):
                 hit[text] = True
             at = data.find(root, int(offsets[text + 1]))
     return np.flatnonzero(hit)

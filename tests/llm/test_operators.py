@@ -274,6 +274,31 @@ def test_rules_pass_their_own_filters():
             assert any(x.startswith(label) for x in licenses.scan(text)[4].split(",")), name
 
 
+def test_every_rule_has_a_root():
+    for k, _ in licenses.rules_by_keyword():
+        assert any(r in k for r in licenses.roots()), k
+
+
+def test_candidates_hold_whatever_a_rule_finds():
+    """Bare names and every notice, alone between texts without a license, are scanned if a rule is in them."""
+    verbs = ("licensed", "licenced", "released", "distributed", "published", "available", "made available")
+    for label, names, versions in licenses.FAMILIES:
+        for name in names:
+            for text in (name, *(f"{name} {v.replace(' ', '.')}" for v in versions), *(f"{verb}  under\n{the}{name}" for verb in verbs for the in ("", "the ", "terms of ", "the Terms of the "))):
+                row = f"...{text}!".lower().encode()
+                data = b"mit mitten replied e" + row + b"pl of"
+                found = licenses.scan(row)[4]
+                assert licenses.candidates(data, np.array([0, 20, 20 + len(row), len(data)])).tolist() == ([1] if found else [1][: b"apache" in row]), text
+                assert any(x.startswith(label) for x in found.split(",")) or text == "mit" or text.startswith("apache"), text
+
+
+def test_short_names_are_scanned(spark):
+    texts = {1: "EPL 2.0", 2: "Released under the EPL 2.0", 3: "OFL 1.1", 4: "released under MIT", 5: "available under the terms of the MIT", 6: "komm mit, profl replied"}
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scanned(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text").collect()}
+    assert {i: labels for i, (labels, _) in got.items()} == {1: "epl-2.0", 2: "epl-2.0", 3: "ofl-1.1", 4: "mit", 5: "mit", 6: ""}
+    assert all((score > 0) == (labels != "") for labels, score in got.values())
+
+
 def test_containment():
     (d,) = licenses.detections(b"licensed under the apache license version 2 0")
     assert d[2].label == "apache-2.0"
