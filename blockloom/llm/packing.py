@@ -56,7 +56,9 @@ def byte_bpe(path: str):
     """The byte-level BPE of a ``tokenizers`` file, run by the rank-merge engine of ``tiktoken``.
 
     The file's token strings are read back to bytes and its ids taken as merge
-    ranks; ids equal those of the ``tokenizers`` library (the tests compare them).
+    ranks; its added tokens are found in texts before anything is split.  Ids
+    equal those of the ``tokenizers`` library at its default setting, without
+    tokens put around a text (the tests compare them).
     """
     import public_tokenizers
     import tiktoken
@@ -68,9 +70,11 @@ def byte_bpe(path: str):
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     other = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-    special = {t["id"] for t in model["added_tokens"]}
-    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if i not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in model["added_tokens"]}
+    if any(t.get(k) for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path} has added tokens that match by what stands around them")
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if i not in added.values()}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def projection() -> np.ndarray:
@@ -122,7 +126,7 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, tokenizer: str) -> Data
         bpe, project = byte_bpe(tokenizer), projection()
         names = ["doc_id", "n_tokens", "ids", *(f"x{i}" for i in range(DIMS))]
         for batch in slices(batches, "text", 1 << 20):
-            ids = [np.append(bpe.encode_to_numpy(t or "", disallowed_special=()), END_ID).astype("<u2") for t in batch.column("text").to_pylist()]
+            ids = [np.append(bpe.encode_to_numpy(t or "", allowed_special="all"), END_ID).astype("<u2") for t in batch.column("text").to_pylist()]
             n = np.array([len(x) for x in ids])
             flat = np.concatenate(ids)
             vectors = np.bincount(np.repeat(np.arange(len(n)), n) * PLACES + places(flat), minlength=len(n) * PLACES).reshape(-1, PLACES).astype(float)

@@ -204,6 +204,26 @@ def test_packing(monkeypatch, frame, docs):
         assert total <= 2048 and total & (total - 1) == 0  # no padding at all
 
 
+def test_packing_finds_added_tokens(spark):
+    """Texts with the literal of an added token, against the library at its default setting."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<|", "|>", " ", "  ", "\n", "\t", "a", "the", "ing", "É", "日本", "😀", "'s", "12", "..."]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "  <|endoftext|>\n", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(2000))]
+    bpe = packing.byte_bpe(packing.default_tokenizer())
+    for t in texts:
+        assert bpe.encode(t, allowed_special="all") == tok.encode(t, add_special_tokens=False).ids, t
+    rows = packing.packed(spark.createDataFrame(list(enumerate(texts[:200])), "doc_id long, text string"), "doc_id", "text").collect()
+    ids = [np.array([*tok.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4") for t in texts[:200]]
+    assert {r.doc_id for r in rows} == set(range(200)) and sum(r.length for r in rows) == sum(map(len, ids))
+    for r in rows:
+        assert (zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()), len(ids[r.doc_id])) == (r.ids_crc32, r.doc_tokens)
+
+
 def test_hilbert_curve_is_one():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = packing.hilbert(grid, 3)
