@@ -11,8 +11,9 @@ the one before.
 
 The model is fitted on at most ``FIT_ROWS`` labelled documents, taken in the
 order of a hash of their ids; every document is scored.  The selection
-threshold is the tail probability that ``KEEP`` of the held-out clean documents
-reach.
+threshold is the tail probability at which the fewest of those documents are on
+the wrong side, clean ones lost and others kept alike; each is scored for that
+by a model fitted without its part (of ``FOLDS``), so all of them count.
 
 Defined cases: a null or empty text has no features and so the score 0 plus
 bias; labels with a null are not fitted on; a document labelled twice is fitted
@@ -33,11 +34,10 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import ship, table
 from blockloom.llm.words import byte_class, flat, mix, slices, spans, word_hashes
 
-#: Bound of the fitting sample; a fifth of it is held out.
+#: Bound of the fitting sample, and parts of it that are held out in turn.
 FIT_ROWS = 6000
+FOLDS = 5
 GRADES = 3
-#: Share of held-out clean documents that the selection keeps.
-KEEP = 0.998
 WORD_BITS, TAIL_BITS = 18, 12
 STEPS, RATE, SHRINK = 250, 0.1, 1e-4
 #: Values of a word's presence and of a share of one.
@@ -123,10 +123,13 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarr
     n = len(grade)
     known = telling(row, feature, grade, grades)
     row, feature, value = (x[known[feature]] for x in (row, feature, value))
+    # Only the weights that are fitted take part; the others stay 0.
+    names = np.flatnonzero(known)
+    feature = np.searchsorted(names, feature)
     weigh = (n / grades / np.maximum(np.bincount(grade, minlength=grades), 1))[grade] / n
-    w, cuts = np.zeros(SIZE), np.arange(1, grades) - grades / 2
+    w, cuts = np.zeros(len(names)), np.arange(1, grades) - grades / 2
     free = np.concatenate([[cuts[0]], np.log(np.diff(cuts))])
-    state = [np.zeros(SIZE), np.zeros(SIZE), np.zeros(len(free)), np.zeros(len(free))]
+    state = [np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(free)), np.zeros(len(free))]
     for step in range(1, STEPS + 1):
         cuts = np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
         s = scores_of(row, feature, value, n, w)
@@ -136,7 +139,7 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarr
         p = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi) / p * weigh, lo * (1 - lo) / p * weigh
         g = dhi - dlo  # of the loss by the score
-        gw = np.bincount(feature, weights=value * g[row], minlength=SIZE) + SHRINK * w
+        gw = np.bincount(feature, weights=value * g[row], minlength=len(w)) + SHRINK * w
         gc = np.zeros(grades - 1)
         np.add.at(gc, np.minimum(grade, grades - 2)[grade < grades - 1], -dhi[grade < grades - 1])
         np.add.at(gc, grade[grade > 0] - 1, dlo[grade > 0])
@@ -146,7 +149,34 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarr
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
             x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w, np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
+    weights = np.zeros(SIZE)
+    weights[names] = w
+    return weights, np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
+
+
+def threshold(tail: np.ndarray, clean: np.ndarray) -> float:
+    """The tail probability, at most 0.5, that puts the fewest documents on the wrong side; the least of several. 0 without clean ones."""
+    if not clean.any():
+        return 0.0
+    at = np.unique(np.minimum(tail[clean], 0.5))
+    lost = np.searchsorted(np.sort(tail[clean]), at)
+    kept = (~clean).sum() - np.searchsorted(np.sort(tail[~clean]), at)
+    return float(at[np.argmin(lost + kept)])
+
+
+def held_out_tails(feature: list[np.ndarray], value: list[np.ndarray], grades: np.ndarray, model: Model) -> np.ndarray:
+    """Tail probability of each document by a model that was fitted without its part; by ``model`` where the others have one grade only."""
+    # Parts by content: copies are held out together, and the order of rows does not matter.
+    part = np.array([int(x[:: max(1, len(x) // 7)].sum()) % FOLDS for x in feature])
+    tail = np.zeros(len(grades))
+    for k in np.unique(part):
+        own, rest = np.flatnonzero(part == k), np.flatnonzero(part != k)
+        one = model
+        if len(np.unique(grades[rest])) > 1:
+            one = Model(*fit(*_stacked([feature[i] for i in rest], [value[i] for i in rest]), grades[rest]), 0.0)
+        r, f, v = _stacked([feature[i] for i in own], [value[i] for i in own])
+        tail[own] = one.at_least(scores_of(r, f, v, len(own), one.weights))[:, -1]
+    return tail
 
 
 def featured(df: DataFrame) -> DataFrame:
@@ -178,18 +208,8 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         return Model(np.zeros(SIZE), np.full(GRADES - 1, -20.0), 0.0)
     feature = [np.frombuffer(x, np.int32) for x in got["feature"].to_pylist()]
     value = [np.frombuffer(x, np.float32).astype(float) for x in got["value"].to_pylist()]
-    # Held out by content, so that the split does not depend on the order of rows.
-    held = np.array([int(x[:: max(1, len(x) // 7)].sum()) % 5 == 0 if len(x) else False for x in feature])
-    if held.all() or not (held & (grades == GRADES - 1)).any() or len(np.unique(grades[~held])) < 2:
-        held[:] = False
-    own = np.flatnonzero(~held)
-    w, cuts = fit(*_stacked([feature[i] for i in own], [value[i] for i in own]), grades[own])
-    model = Model(w, cuts, 0.0)
-    clean = np.flatnonzero((held if held.any() else ~held) & (grades == GRADES - 1))
-    if len(clean):
-        r, f, v = _stacked([feature[i] for i in clean], [value[i] for i in clean])
-        tail = model.at_least(scores_of(r, f, v, len(clean), w))[:, -1]
-        model.select = float(min(0.5, np.quantile(tail, 1 - KEEP)))
+    model = Model(*fit(*_stacked(feature, value), grades), 0.0)
+    model.select = threshold(held_out_tails(feature, value, grades, model), grades == GRADES - 1)
     return model
 
 

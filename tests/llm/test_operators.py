@@ -144,6 +144,40 @@ def test_quality_gradient_descends():
     assert s[grade == 2].mean() > s[grade == 1].mean() > s[grade == 0].mean()
 
 
+def test_threshold_has_the_fewest_errors():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 30, 300):
+        clean = rng.random(n) < 0.8
+        tail = np.clip(rng.normal(np.where(clean, 0.7, 0.2), 0.3), 0, 1).round(2)
+        wrong = lambda t: int(((tail >= t) != clean).sum())
+        got = quality.threshold(tail, clean)
+        assert 0 <= got <= 0.5
+        if clean.any():
+            assert wrong(got) == min(map(wrong, [*tail[tail <= 0.5], 0.5]))
+
+
+def test_odd_clean_labels_let_no_toxic_text_pass(spark):
+    """A few toxic texts labelled clean leave the selection of documents without labels as it is."""
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    texts, rated = [], []
+    for i in range(1600):
+        w = [rng.choice(words) for _ in range(rng.randint(20, 120))]
+        if i % 4 == 1:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(["nasty", "awful"]))
+        texts.append((i, " ".join(w)))
+        if i < 1000:
+            rated.append((i, 1, int(i % 4 == 1 and i % 100 != 1)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = quality.trained(docs, spark.createDataFrame(rated, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.keep for r in quality.scored(docs, model).collect()}
+    toxic, clean = ([got[i] for i in range(1000, 1600) if (i % 4 == 1) == x] for x in (True, False))
+    assert np.mean(toxic) < 0.05 and np.mean(clean) > 0.97
+
+
 def test_op3_edges(spark, frame, docs, saved):
     labels = spark.read.parquet(f"{saved}/labels.parquet")
     got = quality.scored(frame, quality.trained(frame, labels)).collect()
