@@ -51,32 +51,83 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Parts of class and id names, and roles, of elements that are never content.
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 NAMES = frozenset("header site-header page-header search searchbox alert".split())
+#: Parts of names that say what stands in or beside an element, not what it is.
+STATES = frozenset("has no non not with without".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PART = re.compile(r"[a-z0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
 _SPACE = re.compile(r"\s+")
 
 
-def never(tag: str, attributes: str) -> bool:
-    """Whether an element holds no content."""
+def never(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element surely holds no content, and how far its class and id say so: 2 by a whole name, 1 by a part of one."""
     if tag in NEVER:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False
-    for name, value in _NAMED.findall(attributes):
+        return True, 0
+    if not attributes.strip():
+        return False, 0
+    sure, hint = False, 0
+    seen: set[str] = set()
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
+        if name in seen:
+            continue  # the first of a name counts
+        seen.add(name)
         if name in ("class", "id"):
-            if any(p in HINTS for p in _PART.findall(value)) or any(p in NAMES for p in value.split()):
-                return True
+            for token in value.split():
+                fragments = _PART.findall(token)
+                if token in HINTS or token in NAMES:
+                    hint = 2
+                elif any(p in HINTS for p in fragments) and not any(p in STATES for p in fragments):
+                    hint = max(hint, 1)
         elif name == "role":
-            if value in ROLES:
-                return True
+            sure |= value in ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            sure = True
+    return sure and tag not in ("html", "body", "article", "main"), hint
+
+
+@dataclass
+class Element:
+    """``up``: its parent's number; words: of its texts and, in the end, of all inside that could be content."""
+
+    tag: str
+    up: int
+    sure: bool
+    hint: int
+    words: int = 0
+    dead: bool = False
+
+
+def settle(elements: list[Element]) -> None:
+    """Say which elements are dead: surely, by a hint that nothing overrules, or inside such a one.
+
+    A hint is overruled by an article or main inside, of articles the one with the
+    most words (one with a hint of its own only if all have one); on a page without
+    them by most of the page's words; and a hint from a part of a name, inside an
+    article or main, by most of the words there.
+    """
+    for i in range(len(elements) - 1, 0, -1):
+        elements[elements[i].up].words += elements[i].words
+    named = [False] * len(elements)  # by a whole name, or inside such a one
+    for i, e in enumerate(elements):
+        named[i] = named[e.up] or e.hint == 2
+    marks = [i for i, e in enumerate(elements) if e.tag in ("article", "main") and not e.sure]
+    articles = [i for i in marks if elements[i].tag == "article" and not elements[i].hint] or [i for i in marks if elements[i].tag == "article" and not named[i]]
+    anchors = {i for i in marks if elements[i].tag == "main"} | {max(articles, key=lambda i: (elements[i].words, -i)) for _ in articles[:1]}
+    holds: set[int] = set()
+    for i in anchors:
+        while i and (i := elements[i].up) not in holds:
+            holds.add(i)
+    around = [-1] * len(elements)  # the next anchor outside
+    for i, e in enumerate(elements[1:], 1):
+        up = elements[e.up]
+        around[i] = e.up if e.up in anchors else around[e.up]
+        whole = elements[around[i]] if around[i] >= 0 and e.hint == 1 else None if anchors else elements[0]
+        gone = e.hint and e.tag not in ("html", "body", "article", "main") and i not in holds and not (whole and 2 * e.words > whole.words)
+        e.dead = up.dead or e.sure or bool(gone)
 
 
 @dataclass
@@ -92,13 +143,22 @@ class Part:
 
 def parts(page: str) -> list[Part]:
     out: list[Part] = []
-    open_: list[tuple[str, bool, bool, str]] = []  # elements: name, dead, marked, block name
+    elements = [Element("", 0, False, 0)]
+    where_of: list[int] = []  # the element of each part
+    open_: list[tuple[str, int, bool, str]] = []  # elements: name, number, marked, block name
+    sure: list[bool] = [False]  # of each element, or one around it
     block, at, n = 0, 0, len(page)
 
+    def add(name: str, of: int, marked: bool, text: str = "") -> None:
+        out.append(Part(name, block, False, marked, text))
+        where_of.append(of)
+
     def run(text: str) -> None:
         if text and not text.isspace():
-            _, dead, marked, where = open_[-1] if open_ else ("", False, False, "text")
-            out.append(Part("dead" if dead else where, block, dead, marked, text))
+            _, of, marked, where = open_[-1] if open_ else ("", 0, False, "text")
+            add(where, of, marked, text)
+            if not sure[of]:
+                elements[of].words += len(text.split())
 
     while at < n:
         m = _TAG.search(page, at)
@@ -110,21 +170,24 @@ def parts(page: str) -> list[Part]:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        _, dead, marked, where = open_[-1] if open_ else ("", False, False, "text")
+        _, of, marked, where = open_[-1] if open_ else ("", 0, False, "text")
         if m[1] or m[4]:
             if any(x[0] == tag for x in open_):
                 while (last := open_.pop())[0] != tag:
                     pass
-                dead = last[1]
-            out.append(Part("dead" if dead else tag, block, dead, marked))
+                of = last[1]
+            add(tag, of, marked)
         else:
             attributes = m[3] or m[6] or ""
-            gone = dead or never(tag, attributes)
-            out.append(Part("dead" if gone else tag, block, gone, marked))
+            opens = tag not in RAW and tag not in VOID and not attributes.endswith("/")
+            own = len(elements)
+            elements.append(Element(tag, of, *never(tag, attributes)))
+            sure.append(sure[of] or elements[own].sure)
+            add(tag, own, marked)
             if tag in RAW:
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else n
-            elif tag not in VOID and not attributes.endswith("/"):
+            elif opens:
                 if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
                     # A new one ends an open one of its kind, and what that left open.
                     for i in range(len(open_) - 1, -1, -1):
@@ -133,10 +196,16 @@ def parts(page: str) -> list[Part]:
                             break
                         if open_[i][0] in BLOCKS and open_[i][0] != "p":
                             break
-                    _, dead, marked, where = open_[-1] if open_ else ("", False, False, "text")
-                open_.append((tag, dead or gone, marked or tag in ("article", "main"), tag if tag in BLOCKS else where))
+                    _, of, marked, where = open_[-1] if open_ else ("", 0, False, "text")
+                    elements[own].up = of
+                    sure[own] = sure[of] or elements[own].sure
+                open_.append((tag, own, marked or tag in ("article", "main"), tag if tag in BLOCKS else where))
         if tag in BLOCKS:
             block += 1
+    settle(elements)
+    for p, of in zip(out, where_of, strict=True):
+        if elements[of].dead:
+            p.name, p.dead = "dead", True
     if any(p.marked for p in out):
         for p in out:
             if p.text and not p.marked and not p.dead:

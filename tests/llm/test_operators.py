@@ -381,6 +381,27 @@ def test_main_text(page, text):
     assert html.main_text(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        *((f"<body><nav>a b</nav><div class='{c}'><{t}><p>one two three</p></{t}></div><footer>f</footer></body>", "one two three") for c in ("content-sidebar-wrap", "has-sidebar", "no-comments", "wrap sidebar") for t in ("article", "main")),
+        ("<div id='content-sidebar-wrap'><p>one two three four</p></div><div class='sidebar'>x y</div>", "one two three four"),
+        ("<article><div class='content-sidebar-wrap'><p>one two three</p></div><p>four</p></article>", "one two three\nfour"),
+        ("<article><p class='no-comments'>one</p><p>two three</p></article>", "one\ntwo three"),
+        ("<article><p>see <a href='/the-hidden-coast'>the coast</a> and <b title='A hidden place'>a place</b>, <i data-x=hidden>too</i></p></article>", "see the coast and a place, too"),
+        ("<article><p>see <a title='class=ad style=display:none'>this</a></p></article>", "see this"),
+        ("<div class='content-sidebar-wrap'><article class='post category-social'><p>one two</p></article></div><div id='comments' class='comments-area'><article class='comment-body'>x y z</article></div>", "one two"),
+        ("<article><p hidden>x<p>one two</article>", "one two"),
+        # These stay away.
+        ("<article><p>one two</p><p hidden>x</p><p class=a style='display: none'>y</p><div class='b share-buttons'>z</div></article>", "one two"),
+        ("<article><p>one two three</p></article><div class='comments-area'><article class='comment-body'><p>I say so and much more</p></article></div>", "one two three"),
+        ("<article><p>one two three</p></article><div class='related'><article><p>x y</p></article></div>", "one two three"),
+    ],
+)
+def test_hints_leave_the_content(page, text):
+    assert html.main_text(page, WEIGHTS) == text
+
+
 def test_best_region():
     import itertools
 
