@@ -2,22 +2,31 @@
 
 A window is ``width`` consecutive words.  Every text is cut into
 non-overlapping reference blocks of ``(width + 1) // 2`` words, so each window
-holds one whole block of its own text.  Three passes over the texts, which are
-dealt into chunks of a few MB by a hash of the whole row key:
-
-1. index and probe: each chunk sends its block hashes and the hashes of all its
-   rolling windows of block width, once each, to the task that owns their hash
-   range; a block that also stands anywhere else is an anchor;
-2. extend: windows around anchors are candidates; their 96-bit hashes go to
-   the tasks that own them, once a chunk, and come back as one bit each:
-   does another chunk hold the same window?
-3. remove: windows that repeat, runs of which make up the maximal repeats,
-   lose their words.
-
-Copies collapse within a chunk before anything is shuffled and answers come
-back to chunks, never to pairs: what a group of copies costs grows with its
-text, not with its square.  Chunks and hash ranges are sized from the corpus, so
-no task's share grows with it.
+holds one whole block of its own text.  The texts are dealt into chunks of a few
+MB; three passes go over a chunk, with two exchanges of hashes between them:
+
+1. index and probe: a chunk sends its block hashes and the hashes of all its
+   rolling windows of block width to the bins that own them; a block that also
+   stands anywhere else is an anchor;
+2. extend: every window around an anchor, to the left and right, is a candidate;
+   candidates meet in bins by 128-bit hashes, and a chunk is told which of
+   its candidates stand in another chunk too;
+3. remove: runs of windows that repeat are the maximal exact repeats and lose
+   their words.
+
+Answers name the hashes they speak of, so no pass depends on the order of rows,
+which differs between reads of a shuffle; an answer that fits nothing raises.
+
+What is sent grows in proportion to the text: each chunk sends one message at
+most to each of 2 to the power ``FAN_BITS`` bins.  Where bins would outgrow a
+task (``RANGE_BYTES`` of text each), another level deals every bin's hashes to
+as many bins again, by tasks that stream over parts of a bin; levels grow with
+the logarithm of the corpus.  Copies collapse within chunks and within bins, and
+nothing is ever paired, so a group of copies costs what its text costs.
+
+Windows are equal if two 64-bit hashes are, made from two independent hashes of
+each word's bytes (see ``words``): two different windows have equal ones with
+a probability of about 2**-114.
 
 Defined cases: null and empty texts have no words; rows that repeat (same id
 and text) are occurrences of their own; extra columns are carried only when
@@ -26,24 +35,35 @@ named in ``carry``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import parts_for, ship, table
-from blockloom.llm.words import flat, mask_inside, mix, spans, texts_of, window_hashes, word_hashes
+from blockloom.llm.common import ship, table, text_bytes
+from blockloom.llm.words import flat, mask_inside, respaced, spans, window_hashes, word_hashes
 
 WINDOW = 35
-#: Bytes of text in a chunk, and text bytes for each hash range.
-CHUNK_BYTES = 2 << 20
-RANGE_BYTES = 3 << 20
-#: Bits of a block hash that are sent beyond those that number the windows: one in 2 to this power anchors is a chance hit, a candidate that the 96-bit hashes then reject.
+#: Bytes of text in a chunk, and of the text whose hashes a bin may hold.
+CHUNK_BYTES = 4 << 20
+RANGE_BYTES = 96 << 20
+#: Each level deals hashes to 2 to this power bins.
+FAN_BITS = 10
+#: Hashes that a task regroups at once.
+REGROUP = 1 << 20
+#: Bits of a block hash that are sent beyond those that number the windows: one in 2 to this power anchors is a chance hit, a candidate that the 128-bit hashes then reject.
 SPARE_BITS = 14
 
-SENT = "part int, chunk int, a binary, b binary, c binary"
+#: ``rolling`` and ``twice`` (those of ``rolling`` that occur again): block-wide windows; ``high``, ``low``, ``owner``: hashes whose chunk wants an answer.
+SENT = "bin long, salt int, rolling binary, twice binary, high binary, low binary, owner binary"
+#: Kinds of answers: anchored blocks; windows of a bin that repeat; windows of a bin that don't, where all others do.
+ANCHORS, THESE, OTHERS = 0, 1, 2
+ANSWER = "chunk int, kind int, bin long, high binary, low binary"
+
+_NONE = np.zeros(0, np.uint64)
 
 
 def deltas(values: np.ndarray) -> bytes:
@@ -71,17 +91,20 @@ def undeltas(data: bytes) -> np.ndarray:
     return out
 
 
-def packed(bits: np.ndarray) -> bytes:
-    return np.packbits(bits).tobytes()
-
+def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    if len(values):
+        edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])).tolist()
+        yield from zip(edges[:-1], edges[1:], strict=True)
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
-
-def ranges(n: int, bits: int) -> np.ndarray:
-    """The n-1 inner bounds that cut hashes of ``bits`` bits into n ranges."""
-    return np.array([(i << bits) // n for i in range(1, n)], dtype=np.uint64)
+def ordered(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """An order by both hashes."""
+    order = np.argsort(high)
+    h, w = high[order], low[order]
+    if ((h[1:] == h[:-1]) & (w[1:] != w[:-1])).any():  # rare: different windows with one high hash
+        order = np.lexsort((low, high))
+    return order
 
 
 class Chunk:
@@ -91,22 +114,22 @@ class Chunk:
         self.width, self.block, self.bits = width, (width + 1) // 2, bits
         self.buf, self.offsets = flat(texts)
         self.starts, self.ends, self.first = spans(self.buf, self.offsets)
-        self.words = word_hashes(self.buf, self.starts, self.ends)
+        self.words = word_hashes(self.buf, self.starts, self.ends, 2)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rolling, at, hashes): the hashes of all block-wide windows; the starts of reference blocks and their hashes."""
         whole = mask_inside(self.first, self.block)
-        all_hashes = window_hashes(self.words, self.block) >> np.uint64(64 - self.bits)
+        all_hashes = window_hashes(self.words[0], self.block) >> np.uint64(64 - self.bits)
         counts = np.diff(self.first) // self.block
         at = np.repeat(self.first[:-1], counts) + self.block * (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts))
         return all_hashes[whole], at, all_hashes[at] if len(at) else np.zeros(0, np.uint64)
 
     def candidates(self, at: np.ndarray, anchored: np.ndarray) -> np.ndarray:
         """Starts of the windows whose reference block is anchored."""
-        n = len(self.words) - self.width + 1
+        n = self.words.shape[1] - self.width + 1
         if n <= 0 or not anchored.any():
             return np.zeros(0, np.int64)
-        edge = np.zeros(len(self.words) + 1, np.int32)
+        edge = np.zeros(self.words.shape[1] + 1, np.int32)
         hot = at[anchored]
         text = np.searchsorted(self.first, hot, "right") - 1
         lo = np.maximum(hot - (self.block - 1), self.first[text])
@@ -115,10 +138,10 @@ class Chunk:
         return np.flatnonzero((np.cumsum(edge)[:n] > 0) & mask_inside(self.first, self.width))
 
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(high, low, inverse, count): the distinct 96-bit hashes in ascending order of windows at ``starts``, each window's place there, and how often each stands in the chunk."""
-        high = window_hashes(self.words, self.width)[starts]
-        low = (window_hashes(mix(self.words), self.width, 1)[starts] >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((low, high))
+        """(high, low, inverse, count): the distinct hashes in ascending order of windows at ``starts``, each window's place there, and how often each stands in the chunk."""
+        high = window_hashes(self.words[0], self.width)[starts]
+        low = window_hashes(self.words[1], self.width, 1)[starts]
+        order = ordered(high, low)
         h, w = high[order], low[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
@@ -129,119 +152,229 @@ class Chunk:
 
     def removed(self, starts: np.ndarray) -> np.ndarray:
         """For each word, whether a window at ``starts`` covers it."""
-        edge = np.zeros(len(self.words) + 1, np.int64)
+        edge = np.zeros(self.words.shape[1] + 1, np.int64)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + self.width, -1)
-        return np.cumsum(edge)[: len(self.words)] > 0
+        return np.cumsum(edge)[: self.words.shape[1]] > 0
 
     def kept(self, gone: np.ndarray) -> pa.Array:
         """The texts' remaining words, joined by one space."""
-        buf, stay = self.buf.copy(), ~gone
-        text = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
-        s, e, text = self.starts[stay], self.ends[stay], text[stay]
-        edge = np.zeros(len(buf) + 1, np.int8)
-        edge[s] += 1
-        edge[e] -= 1
-        keep = np.cumsum(edge, dtype=np.int8)[: len(buf)] > 0
-        inner = np.zeros(len(s), bool)
-        inner[:-1] = text[:-1] == text[1:]
-        buf[e[inner]] = 0x20
-        keep[e[inner]] = True
-        sizes = np.bincount(text, weights=e - s + inner, minlength=len(self.offsets) - 1).astype(np.int64)
-        return texts_of(buf, keep, sizes)
-
-
-def _rows(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["part", "chunk", "a", "b", "c"])
-
-
-def _cuts(values: np.ndarray, bounds: np.ndarray) -> list[int]:
-    return [0, *np.searchsorted(values, bounds).tolist(), len(values)]
-
-
-def probe(texts: pa.ChunkedArray, chunk: int, n_parts: int, width: int, bits: int) -> list[tuple]:
-    """Pass 1 for one chunk: (range, chunk, rolling hashes, those that occur twice, block hashes)."""
-    rolling, _, blocks = Chunk(texts, width, bits).anchors()
-    bounds = ranges(n_parts, bits)
+        stay, n = ~gone, len(self.offsets) - 1
+        text = np.repeat(np.arange(n), np.diff(self.first))
+        data, offsets = respaced(self.buf, self.starts[stay], self.ends[stay], text[stay], n)
+        return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
+
+
+class Plan:
+    """How hashes of ``bits`` bits are dealt: ``levels`` of 2 to the power ``fan`` bins, and in how many parts a level's bins are regrouped."""
+
+    def __init__(self, bits: int, fan: int, ranges: int) -> None:
+        self.bits, self.fan, self.levels = bits, fan, 1
+        while 1 << self.levels * fan < ranges and (self.levels + 1) * fan <= bits:
+            self.levels += 1
+        self.parts = [max(1, -(-ranges >> level * fan)) for level in range(1, self.levels)] + [1]
+
+    def bins(self, values: np.ndarray, level: int) -> Iterator[tuple[int, int, int]]:
+        """(bin, start, end) of each bin of ``level`` that has some of the ascending ``values``."""
+        of = (values >> np.uint64(self.bits - self.fan * level)).astype(np.int64)
+        for i, j in runs(of):
+            yield int(of[i]), i, j
+
+    def messages(self, level: int, salt: int, rolling: np.ndarray, twice: np.ndarray, high: np.ndarray, low: np.ndarray, owner: np.ndarray) -> Iterator[tuple]:
+        """One message (``SENT``) for each bin of ``level`` that gets anything; hashes ascend, low ones and owners stand beside the high ones."""
+        cuts: dict[int, list[tuple[int, int]]] = {}
+        for k, values in enumerate((rolling, twice, high)):
+            for b, i, j in self.bins(values, level):
+                cuts.setdefault(b, [(0, 0)] * 3)[k] = (i, j)
+        for b, ((r, s), (t, u), (i, j)) in cuts.items():
+            own = owner[i:j]
+            if len(own) and (own == own[0]).all():
+                own = own[:1]
+            yield b, salt % self.parts[level - 1], deltas(rolling[r:s]), deltas(twice[t:u]), deltas(high[i:j]), low[i:j].tobytes(), own.tobytes()
+
+
+class Bin:
+    """What some messages of one bin say together."""
+
+    def __init__(self, messages: list[tuple]) -> None:
+        rolling = np.sort(np.concatenate([undeltas(m[2]) for m in messages]))
+        again = rolling[1:] == rolling[:-1]
+        self.twice = np.unique(np.concatenate([rolling[1:][again], *(undeltas(m[3]) for m in messages)]))
+        self.rolling = rolling[np.concatenate([[True], ~again])] if len(rolling) else rolling
+        high = [undeltas(m[4]) for m in messages]
+        owner = [np.frombuffer(m[6], np.int32) for m in messages]
+        owner = np.concatenate([o if len(o) == len(h) else np.full(len(h), o[0], np.int32) for o, h in zip(owner, high, strict=True)])
+        low, high = np.concatenate([np.frombuffer(m[5], np.uint64) for m in messages]), np.concatenate(high)
+        order = ordered(high, low) if len(low) else np.argsort(high)
+        self.high, self.low, self.owner = high[order], low[order] if len(low) else low, owner[order]
+
+    def by_owner(self, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(chunk, those of the places ``which`` whose hashes are its own, ascending)."""
+        order = np.argsort(self.owner[which], kind="stable")
+        own = self.owner[which][order]
+        for i, j in runs(own):
+            yield int(own[i]), which[order[i:j]]
+
+    def anchors(self, number: int) -> Iterator[tuple]:
+        """For each chunk, which of its blocks stand anywhere else."""
+        at = np.searchsorted(self.twice, self.high)
+        hit = at < len(self.twice)
+        hit[hit] = self.twice[at[hit]] == self.high[hit]
+        for chunk, own in self.by_owner(np.flatnonzero(hit)):
+            yield chunk, ANCHORS, number, deltas(self.high[own]), b""
+
+    def repeats(self, number: int) -> Iterator[tuple]:
+        """For each chunk that shares windows with another, which are shared or which aren't, whichever are fewer."""
+        same = (self.high[1:] == self.high[:-1]) & (self.low[1:] == self.low[:-1])
+        found = np.zeros(len(self.high), bool)
+        found[1:] |= same
+        found[:-1] |= same
+        for chunk, own in self.by_owner(np.arange(len(self.high))):
+            yes = found[own]
+            if yes.any():
+                kind = THESE if 2 * yes.sum() <= len(yes) else OTHERS
+                told = own[yes if kind == THESE else ~yes]
+                yield chunk, kind, number, deltas(self.high[told]), self.low[told].tobytes()
+
+
+def _batches(rows: Iterator[tuple], schema: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of about ``most`` bytes, one at least."""
+    fields = [pa.field(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in schema.split(", "))]
+    held: list[tuple] = []
+    size, some = 0, False
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*held, strict=True) if held else [[]] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes)) + 32
+        if size >= most:
+            yield batch()
+            held, size, some = [], 0, True
+    if held or not some:
+        yield batch()
+
+
+def by_bin(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[tuple]]]:
+    """((bin, salt), its messages) of batches that are sorted by both."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    return groupby(rows, key=lambda m: m[:2])
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], plan: Plan, level: int) -> Iterator[pa.RecordBatch]:
+    """Messages to bins of the level before dealt to those of ``level``, about ``REGROUP`` hashes at a time; messages to chunks pass through."""
+
+    def rows() -> Iterator[tuple]:
+        for (number, salt), messages in by_bin(batches):
+            held: list[tuple] = []
+            size = 0
+            for m in messages:
+                if number < 0:
+                    yield m
+                    continue
+                held.append(m)
+                size += (len(m[2]) + len(m[4])) // 4
+                if size >= REGROUP:
+                    b = Bin(held)
+                    yield from plan.messages(level, salt, b.rolling, b.twice, b.high, b.low, b.owner)
+                    held, size = [], 0
+            if held:
+                b = Bin(held)
+                yield from plan.messages(level, salt, b.rolling, b.twice, b.high, b.low, b.owner)
+
+    return _batches(rows(), SENT)
+
+
+def answered(batches: Iterator[pa.RecordBatch], say: Callable[[Bin, int], Iterator[tuple]]) -> Iterator[pa.RecordBatch]:
+    """What ``say`` has for each whole bin; a message to a chunk (its bin is -1 - chunk) becomes its answer."""
+
+    def rows() -> Iterator[tuple]:
+        for (number, _), messages in by_bin(batches):
+            if number < 0:
+                yield from ((-1 - number, ANCHORS, number, m[4], b"") for m in messages)
+            else:
+                yield from say(Bin(list(messages)), number)
+
+    return _batches(rows(), ANSWER)
+
+
+def exchanged(sent: DataFrame, plan: Plan, say: Callable[[Bin, int], Iterator[tuple]]) -> DataFrame:
+    """``ANSWER`` rows for the messages ``sent``."""
+
+    def again(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        return lambda batches: regrouped(batches, plan, level)
+
+    for level in range(2, plan.levels + 1):
+        sent = sent.repartition("bin", "salt").sortWithinPartitions("bin", "salt").mapInArrow(again(level), SENT)
+    return sent.repartition("bin").sortWithinPartitions("bin", "salt").mapInArrow(lambda batches: answered(batches, say), ANSWER)
+
+
+def probe(texts: pa.ChunkedArray, chunk: int, plan: Plan, width: int) -> Iterator[tuple]:
+    """Pass 1 for one chunk: its blocks and rolling windows, dealt to bins."""
+    rolling, _, blocks = Chunk(texts, width, plan.bits).anchors()
     rolling = np.sort(rolling)
     fresh = np.ones(len(rolling), bool)
     fresh[1:] = rolling[1:] != rolling[:-1]
-    twice = np.unique(rolling[~fresh])
-    rolling, blocks = rolling[fresh], np.unique(blocks)
-    cuts = [_cuts(x, bounds) for x in (rolling, twice, blocks)]
-    return [(p, chunk, *(deltas(x[c[p] : c[p + 1]]) for x, c in zip((rolling, twice, blocks), cuts, strict=True))) for p in range(n_parts) if cuts[0][p] < cuts[0][p + 1]]
-
+    blocks = np.unique(blocks)
+    return plan.messages(1, chunk, rolling[fresh], np.unique(rolling[~fresh]), blocks, _NONE, np.full(len(blocks), chunk, np.int32))
 
-def anchor(t: pa.Table) -> pa.Table:
-    """Of one hash range, for each chunk: a bit for each of its block hashes, set if the block stands anywhere else."""
-    seen = np.sort(np.concatenate([undeltas(x) for x in t["a"].to_pylist()]))
-    hot = np.unique(np.concatenate([seen[1:][seen[1:] == seen[:-1]], *(undeltas(x) for x in t["b"].to_pylist())]))
-    out = []
-    for part, chunk, own in zip(t["part"].to_pylist(), t["chunk"].to_pylist(), t["c"].to_pylist(), strict=True):
-        if own:
-            at = np.searchsorted(hot, own := undeltas(own))
-            found = at < len(hot)
-            found[found] = hot[at[found]] == own[found]
-            out.append((part, chunk, packed(found), b"", b""))
-    return _rows(out)
 
-
-def _answers(t: pa.Table, column: str) -> dict[int, bytes]:
-    return {p: x for p, x in zip(t["part"].to_pylist(), t[column].to_pylist(), strict=True) if x}
-
-
-def _bits(values: np.ndarray, n_parts: int, bits: int, said: dict[int, bytes]) -> np.ndarray:
-    """The bits that the ranges sent back for ``values`` (ascending, distinct)."""
-    cuts = _cuts(values, ranges(n_parts, bits))
-    found = [unpacked(said[p], cuts[p + 1] - cuts[p]) for p in range(n_parts) if cuts[p] < cuts[p + 1]]
-    return np.concatenate(found) if found else np.zeros(0, bool)
+def anchored(c: Chunk, said: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hot): a chunk's candidate windows, and the hashes of its anchored blocks."""
+    told = zip(said["kind"].to_pylist(), said["high"].to_pylist(), strict=True)
+    hot = np.unique(np.concatenate([_NONE, *(undeltas(h) for kind, h in told if kind == ANCHORS)]))
+    _, at, blocks = c.anchors()
+    if not np.isin(hot, blocks).all():
+        raise RuntimeError("an answer names blocks that the chunk doesn't have")
+    return c.candidates(at, np.isin(blocks, hot)), hot
+
+
+def extend(texts: pa.ChunkedArray, said: pa.Table, chunk: int, plan: Plan, width: int, block_bits: int) -> Iterator[tuple]:
+    """Pass 2 for one chunk: its candidate windows, dealt to bins, and its anchors to itself."""
+    if not said.num_rows:
+        return
+    c = Chunk(texts, width, block_bits)
+    starts, hot = anchored(c, said)
+    if len(starts):
+        high, low, _, _ = c.windows(starts)
+        yield -1 - chunk, 0, b"", b"", deltas(hot), b"", b""
+        yield from plan.messages(1, chunk, _NONE, _NONE, high, low, np.full(len(high), chunk, np.int32))
+
+
+def repeated(high: np.ndarray, low: np.ndarray, said: pa.Table, plan: Plan) -> np.ndarray:
+    """Which of a chunk's distinct windows, in order, stand in other chunks too."""
+    out = np.zeros(len(high), bool)
+    shift = plan.bits - plan.fan * plan.levels
+    for kind, number, told_high, told_low in zip(*(said[x].to_pylist() for x in ("kind", "bin", "high", "low")), strict=True):
+        if kind == ANCHORS:
+            continue
+        start = int(np.searchsorted(high, np.uint64(number << shift)))
+        end = int(np.searchsorted(high, np.uint64((number + 1 << shift) - 1), "right"))
+        h, w, told = undeltas(told_high), np.frombuffer(told_low, np.uint64), np.zeros(end - start, bool)
+        at, n = start + np.searchsorted(high[start:end], h), len(h)
+        while len(at):  # a second step only where windows share a high hash
+            ok = at < end
+            ok[ok] = high[at[ok]] == h[ok]
+            at, h, w = at[ok], h[ok], w[ok]
+            hit = low[at] == w
+            told[at[hit] - start] = True
+            at, h, w = at[~hit] + 1, h[~hit], w[~hit]
+        if told.sum() != n:
+            raise RuntimeError("an answer names windows that the chunk doesn't have")
+        out[start:end] = told if kind == THESE else ~told
+    return out
 
 
-def extend(texts: pa.ChunkedArray, said: pa.Table, chunk: int, n_parts: int, width: int, bits: int) -> list[tuple]:
-    """Pass 2 for one chunk: (range, chunk, high hashes, low hashes, -) and, under a range of its own, which reference blocks are anchored."""
-    c = Chunk(texts, width, bits)
-    _, at, blocks = c.anchors()
-    distinct, inverse = np.unique(blocks, return_inverse=True)
-    anchored = _bits(distinct, n_parts, bits, _answers(said, "a"))[inverse] if len(blocks) else np.zeros(0, bool)
-    starts = c.candidates(at, anchored)
-    if not len(starts):
-        return []
-    high, low, _, _ = c.windows(starts)
-    cuts = _cuts(high, ranges(n_parts, 64))
-    return [(-1 - chunk, chunk, packed(anchored), b"", b"")] + [(p, chunk, high[cuts[p] : cuts[p + 1]].tobytes(), low[cuts[p] : cuts[p + 1]].tobytes(), b"") for p in range(n_parts) if cuts[p] < cuts[p + 1]]
-
-
-def repeated(t: pa.Table) -> pa.Table:
-    """Of one hash range, for each chunk: a bit for each of its windows, set if another chunk has the window too."""
-    parts, chunks = t["part"].to_pylist(), t["chunk"].to_pylist()
-    if parts[0] < 0:
-        return t
-    highs = [np.frombuffer(x, np.uint64) for x in t["a"].to_pylist()]
-    high, low = np.concatenate(highs), np.concatenate([np.frombuffer(x, np.uint32) for x in t["b"].to_pylist()])
-    order = np.lexsort((low, high))
-    h, w = high[order], low[order]
-    same = (h[1:] == h[:-1]) & (w[1:] == w[:-1])
-    found = np.zeros(len(h), bool)
-    found[order[1:][same]] = True
-    found[order[:-1][same]] = True
-    out, i = [], 0
-    for part, chunk, x in zip(parts, chunks, highs, strict=True):
-        out.append((part, chunk, packed(found[i : i + len(x)]), b"", b""))
-        i += len(x)
-    return _rows(out)
-
-
-def remove(texts: pa.ChunkedArray, said: pa.Table, chunk: int, n_parts: int, width: int, bits: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def remove(texts: pa.ChunkedArray, said: pa.Table, plan: Plan, width: int, block_bits: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Pass 3 for one chunk: for each text its words, how many go, and the text of those that stay."""
-    c = Chunk(texts, width, bits)
-    answers = _answers(said, "a")
-    gone = np.zeros(len(c.words), bool)
-    if (own := answers.pop(-1 - chunk, None)) is not None:
-        _, at, _ = c.anchors()
-        starts = c.candidates(at, unpacked(own, len(at)))
-        high, _, inverse, count = c.windows(starts)
-        again = (count > 1) | _bits(high, n_parts, 64, answers)
+    c = Chunk(texts, width, block_bits)
+    gone = np.zeros(c.words.shape[1], bool)
+    if said.num_rows:
+        starts, _ = anchored(c, said)
+        high, low, inverse, count = c.windows(starts)
+        again = (count > 1) | repeated(high, low, said, plan)
         gone = c.removed(starts[again[inverse]])
     total = np.concatenate([[0], np.cumsum(gone)])
     return np.diff(c.first), total[c.first[1:]] - total[c.first[:-1]], c.kept(gone)
@@ -254,30 +387,32 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, width: int = WINDOW,
     sequence also starts anywhere else, in the same text or another.
     """
     ship(df.sparkSession)
-    n_chunks = parts_for(df, text_col, CHUNK_BYTES)
-    n_parts = max(1, n_chunks * CHUNK_BYTES // RANGE_BYTES)
+    total = text_bytes(df, text_col)
+    n_chunks, n_ranges = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // RANGE_BYTES))
     # Words are fewer than bytes, so these bits number all windows and leave some to spare.
-    bits = min(63, SPARE_BITS + (n_chunks * CHUNK_BYTES // 4).bit_length())
+    blocks = Plan(min(63, SPARE_BITS + max(total, CHUNK_BYTES).bit_length() - 2), FAN_BITS, n_ranges)
+    windows = Plan(64, FAN_BITS, n_ranges)
     extra = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
+    # The partition spreads rows that repeat, and is the same whenever its task runs again.
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_chunks)).cast("int"))
     spread = rows.groupBy("chunk")
 
     def first(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        return _rows(probe(t["text"], key[0].as_py(), n_parts, width, bits))
+        return pa.Table.from_batches(_batches(probe(t["text"], key[0].as_py(), blocks, width), SENT))
 
     def second(key: tuple[pa.Scalar, ...], t: pa.Table, said: pa.Table) -> pa.Table:
-        return _rows(extend(t["text"], said, key[0].as_py(), n_parts, width, bits) if t.num_rows else [])
+        return pa.Table.from_batches(_batches(extend(t["text"], said, key[0].as_py(), windows, width, blocks.bits), SENT))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(["doc_id " + kinds["doc_id"], "n_words long", "n_removed long", "kept_text string", *(f"carry_{i} {kinds[f'carry_{i}']}" for i in range(len(carry)))])
 
     def third(key: tuple[pa.Scalar, ...], t: pa.Table, said: pa.Table) -> pa.Table:
-        n, gone, kept = remove(t["text"], said, key[0].as_py(), n_parts, width, bits)
+        n, gone, kept = remove(t["text"], said, windows, width, blocks.bits)
         return pa.table([t["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), kept, *(t[f"carry_{i}"] for i in range(len(carry)))], names=["doc_id", "n_words", "n_removed", "kept_text", *(f"carry_{i}" for i in range(len(carry)))])
 
-    hits = spread.applyInArrow(first, SENT).groupBy("part").applyInArrow(anchor, SENT)
-    seen = spread.cogroup(hits.groupBy("chunk")).applyInArrow(second, SENT).groupBy("part").applyInArrow(repeated, SENT)
+    hits = exchanged(spread.applyInArrow(first, SENT), blocks, Bin.anchors)
+    seen = exchanged(spread.cogroup(hits.groupBy("chunk")).applyInArrow(second, SENT), windows, Bin.repeats)
     out = spread.cogroup(seen.groupBy("chunk")).applyInArrow(third, schema)
     return out.select("doc_id", "n_words", "n_removed", "kept_text", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))
 

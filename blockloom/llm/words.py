@@ -1,6 +1,10 @@
 """Words of Arrow string columns and their hashes, computed on the UTF-8 bytes with numpy.
 
-Hashes are polynomials modulo 2**64 over random values, finished with a mixer.
+A word of up to ``SHORT`` bytes is hashed by tabulation: the sum of a random
+64-bit value for each byte at its place, so that two words collide with
+probability 2**-64 whatever they look like.  Longer words are hashed by XXH3.
+A second half is as independent of the first as another hash function.
+
 Windows of words are polynomials over word hashes, so every window of a text
 costs a few vector operations whatever its width.
 """
@@ -12,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: The white space that separates words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text worked on at once.
 BLOCK = 1 << 20
 
-_MASK = (1 << 64) - 1
 _ROOTS = (0x9E3779B97F4A7C15 & ~7 | 5, 0xC2B2AE3D27D4EB4F & ~7 | 5)
+#: Bytes of a word that the tables below cover; longer words are hashed whole by XXH3.
+SHORT = 64
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = _rng.integers(0, 2**64, (2, SHORT * 256), dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -93,24 +99,29 @@ def spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash for each word, alike wherever the word stands."""
-    out = np.empty(len(starts), np.uint64)
-    root = _ROOTS[which]
-    back = pow(root, -1, 1 << 64)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, halves: int = 1) -> np.ndarray:
+    """``halves`` (1 or 2) independent 64-bit hashes of each word (halves x words), alike wherever the word stands."""
+    out = np.empty((halves, len(starts)), np.uint64)
     i = 0
     while i < len(starts):
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
+        s, n = starts[i:j] - lo, ends[i:j] - starts[i:j]
         part = buf[lo : int(ends[j - 1])]
-        up = _series(root, len(part))
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up, dtype=np.uint64, out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        h = (sums[e] - sums[s]) * _series(back, len(part))[s]
-        out[i:j] = mix(h + (e - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        edge = np.zeros(len(part) + 1, np.int8)
+        edge[s] += 1
+        edge[s + n] -= 1
+        letters = part[np.cumsum(edge, dtype=np.int8)[:-1].view(bool)]
+        at = np.cumsum(n) - n
+        place = (np.arange(len(letters)) - np.repeat(at, n)).astype(np.uint16) & np.uint16(SHORT - 1)
+        place <<= np.uint16(8)
+        place |= letters
+        for k in range(halves):
+            out[k, i:j] = np.add.reduceat(_BYTES[k][place], at)
+        for w in np.flatnonzero(n > SHORT):
+            out[:, i + w] = np.frombuffer(xxhash.xxh3_128_digest(part[s[w] : s[w] + n[w]]), np.uint64)[:halves]
         i = j
-    return out
+    return mix(out)
 
 
 def window_hashes(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
@@ -130,11 +141,6 @@ def window_hashes(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     return out
 
 
-def inside_texts(first: np.ndarray, width: int) -> np.ndarray:
-    """Starts of the windows of ``width`` words that lie in one text, ascending."""
-    return np.flatnonzero(mask_inside(first, width))
-
-
 def mask_inside(first: np.ndarray, width: int) -> np.ndarray:
     """For each start of a window among all words, whether the window lies in one text."""
     n = int(first[-1])
@@ -161,14 +167,16 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = 2 * BLO
             i = j
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops empty batches."""
-    return (b for b in batches if b.num_rows)
-
-
-def texts_of(buf: np.ndarray, keep: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """A string column from the kept bytes of ``buf``; ``sizes``: how many bytes each text has."""
-    offsets = np.zeros(len(sizes) + 1, np.int64)
-    np.cumsum(sizes, out=offsets[1:])
-    data = np.ascontiguousarray(buf[keep])
-    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
+def respaced(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of ``n`` texts made of some words of ``buf``, joined by one space; ``text``: each word's, ascending."""
+    buf = buf.copy()
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    keep = np.cumsum(edge, dtype=np.int8)[: len(buf)] > 0
+    inner = np.zeros(len(starts), bool)
+    inner[:-1] = text[:-1] == text[1:]
+    buf[ends[inner]] = 0x20
+    keep[ends[inner]] = True
+    sizes = np.bincount(text, weights=ends - starts + inner, minlength=n).astype(np.int64)
+    return buf[keep], np.concatenate([[0], np.cumsum(sizes)])
