@@ -7,8 +7,11 @@ Documents are range-sorted by that key and neighbours on the curve are packed
 into sequences, cut wherever a sequence is full.  What is left at the end of a
 range is cut into powers of two, which need no padding.
 
-Ranges split inside equal keys (by doc_id), so a group of copies of any size
-spreads over tasks.  Tokens are made once and written to the shared folder.
+Ranges hold about equally many ids: a histogram of ids over the first ``CELL_BITS``
+bits of the key, whose size is fixed, is cut into them.  A cell that holds
+more than one range's ids, such as a group of copies, is spread over
+ranges of its own.  Long documents travel in segments, so no row is
+large.  Tokens are made once and written to the shared folder.
 
 Defined cases: null and empty texts are the end id alone; a null doc_id is
 packed like any other; repeated rows are documents of their own; extra columns
@@ -22,11 +25,11 @@ import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +40,10 @@ LENGTH = 2048
 END_ID = 1
 #: Places of the hashed vector, dimensions of the curve and bits of each.
 PLACES, DIMS, BITS = 256, 3, 16
-#: Bytes of token ids in a range.
+#: Bytes of token ids in a range, ids in a row, and bits of the key that number the cells of the histogram.
 RANGE_BYTES = 6 << 20
+SEGMENT = 1 << 15
+CELL_BITS = 15
 #: Row of a sequence id: its range in the high bits.
 RANGE_SHIFT = 32
 
@@ -73,6 +78,8 @@ def byte_bpe(path: str):
     added = {t["content"]: t["id"] for t in model["added_tokens"]}
     if any(t.get(k) for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
         raise ValueError(f"{path} has added tokens that match by what stands around them")
+    if max(len(model["model"]["vocab"]), 1 + max([*added.values(), *model["model"]["vocab"].values()])) > 1 << 16:
+        raise ValueError(f"{path} has ids above 65535, which rows of 16-bit ids can't hold")
     ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if i not in added.values()}
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
@@ -120,39 +127,41 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def tokenised(df: DataFrame, id_col: str, text_col: str, tokenizer: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (16-bit little endian, end id last) and the projections ``x0..``."""
+    """Rows of at most ``SEGMENT`` ids: ``doc_id, start`` (ids of the document before it), ``doc_tokens, ids`` (16-bit little endian, end id last) and the document's projections ``x0..``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, project = byte_bpe(tokenizer), projection()
-        names = ["doc_id", "n_tokens", "ids", *(f"x{i}" for i in range(DIMS))]
+        names = ["doc_id", "start", "doc_tokens", "ids", *(f"x{i}" for i in range(DIMS))]
         for batch in slices(batches, "text", 1 << 20):
             ids = [np.append(bpe.encode_to_numpy(t or "", allowed_special="all"), END_ID).astype("<u2") for t in batch.column("text").to_pylist()]
             n = np.array([len(x) for x in ids])
             flat = np.concatenate(ids)
             vectors = np.bincount(np.repeat(np.arange(len(n)), n) * PLACES + places(flat), minlength=len(n) * PLACES).reshape(-1, PLACES).astype(float)
             spots = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ project
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), *(pa.array(spots[:, i]) for i in range(DIMS))], names=names)
+            cuts = [(d, at) for d, x in enumerate(ids) for at in range(0, len(x), SEGMENT)]
+            of = np.array([d for d, _ in cuts])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), pa.array([at for _, at in cuts], pa.int64()), pa.array(n[of], pa.int64()), pa.array([ids[d][at : at + SEGMENT].tobytes() for d, at in cuts], pa.binary()), *(pa.array(spots[of, i]) for i in range(DIMS))], names=names)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary, " + ", ".join(f"x{i} double" for i in range(DIMS)))
+    return rows.mapInArrow(encode, "doc_id long, start long, doc_tokens long, ids binary, " + ", ".join(f"x{i} double" for i in range(DIMS)))
 
 
-def pieces_of(docs: Iterator[tuple[int | None, np.ndarray]], part: int, length: int) -> Iterator[tuple]:
-    """Pieces of documents in their order: full sequences, then the rest as powers of two."""
+def pieces_of(segments: Iterator[tuple[int | None, int, int, np.ndarray]], part: int, length: int) -> Iterator[tuple]:
+    """Pieces of segments (document, start, ids of the document, ids) in their order: full sequences, then the rest as powers of two."""
     held: list[tuple[int | None, int, np.ndarray, int]] = []
     fill, number = 0, 0
 
-    def sequence(segments: list[tuple[int | None, int, np.ndarray, int]]) -> Iterator[tuple]:
+    def sequence(now: list[tuple[int | None, int, np.ndarray, int]]) -> Iterator[tuple]:
         at = 0
-        for doc, start, ids, total in segments:
+        for doc, start, ids, total in now:
             yield doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, (part << RANGE_SHIFT) + number, at
             at += len(ids)
 
-    for doc, ids in docs:
+    for doc, start, total, ids in segments:
         pos = 0
         while pos < len(ids):
             take = min(len(ids) - pos, length - fill)
-            held.append((doc, pos, ids[pos : pos + take], len(ids)))
+            held.append((doc, start + pos, ids[pos : pos + take], total))
             fill, pos = fill + take, pos + take
             if fill == length:
                 yield from sequence(held)
@@ -172,41 +181,71 @@ def pieces_of(docs: Iterator[tuple[int | None, np.ndarray]], part: int, length:
         number += 1
 
 
+def dealt(cells: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first range, ranges) of each cell of the curve, for ranges of about ``most`` of what ``cells`` count."""
+    before = np.concatenate([[0], np.cumsum(cells)])
+    first = (before[:-1] // most).astype(np.int64)
+    # A large cell gets the ranges that start inside it; cells after it start after those.
+    n = np.maximum(1, ((before[1:] - 1e-9) // most).astype(np.int64) - first)
+    big = cells > most
+    return first + big, np.where(big, n, 1)
+
+
 def packed(df: DataFrame, id_col: str, text_col: str, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """Pieces of all documents of ``df``, packed along the curve (``PIECES``)."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
     docs = written(tokenised(df, id_col, text_col, tokenizer or default_tokenizer()), "tokens")
-    stats = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), *(f(f"x{i}").alias(f"{a}{i}") for i in range(DIMS) for f, a in ((F.mean, "m"), (F.stddev_pop, "s")))).first()
+    stats = docs.where("start = 0").agg(*(f(f"x{i}").alias(f"{a}{i}") for i in range(DIMS) for f, a in ((F.mean, "m"), (F.stddev_pop, "s")))).first()
     mean = np.array([stats[f"m{i}"] or 0.0 for i in range(DIMS)])
     scale = np.array([stats[f"s{i}"] or 1.0 for i in range(DIMS)])
+    names = [f"x{i}" for i in range(DIMS)]
 
-    @F.pandas_udf("long")
-    def curve(*xs: pd.Series) -> pd.Series:
-        z = (np.stack([x.to_numpy() for x in xs], 1) - mean) / scale
+    def keys(xs: list[np.ndarray]) -> np.ndarray:
+        z = (np.stack(xs, 1) - mean) / scale
         # The logistic curve spreads values about evenly over the grid.
         grid = np.minimum((1 / (1 + np.exp(-1.7 * z)) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-        return pd.Series(hilbert(grid, BITS))
+        return hilbert(grid, BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << CELL_BITS)
+        for b in batches:
+            cell = keys([np.asarray(b.column(x)) for x in names]) >> (BITS * DIMS - CELL_BITS)
+            n = np.asarray(b.column("n"))
+            sums += np.bincount(cell, weights=n, minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at].astype(np.int64))], names=["cell", "n"])
+
+    # The histogram has a fixed number of cells, whatever the corpus.
+    counted = docs.where("start = 0").select(F.col("doc_tokens").alias("n"), *names).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = np.zeros(1 << CELL_BITS)
+    cells[counted["cell"]] = counted["n"]
+    first, n_ranges = dealt(cells, RANGE_BYTES / 2)
+    held = spark.sparkContext.broadcast((first, n_ranges))
+
+    @F.pandas_udf("range long, key long")
+    def place(salt: pd.Series, *xs: pd.Series) -> pd.DataFrame:
+        start, n = held.value
+        key = keys([x.to_numpy() for x in xs])
+        cell = key >> (BITS * DIMS - CELL_BITS)
+        return pd.DataFrame({"range": start[cell] + salt.to_numpy().astype(np.uint64) % n[cell].astype(np.uint64), "key": key})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-
-        def docs_in() -> Iterator[tuple[int | None, np.ndarray]]:
-            for b in batches:
-                for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                    yield doc, np.frombuffer(ids.as_buffer(), "<u2")
-
-        rows: list[tuple] = []
-        for row in pieces_of(docs_in(), part, length):
-            rows.append(row)
-            if len(rows) == 20_000:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-
-    n = max(1, math.ceil(2 * stats["n"] / RANGE_BYTES))
-    keyed = docs.select("doc_id", "ids", curve(*(f"x{i}" for i in range(DIMS))).alias("key"))
-    return keyed.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "ids").mapInArrow(pack, PIECES)
+        rows = ((r, d, s, t, np.frombuffer(ids.as_buffer(), "<u2")) for b in batches for r, d, s, t, ids in zip(*(b.column(c).to_pylist() for c in ("range", "doc_id", "start", "doc_tokens")), b.column("ids"), strict=True))
+        out: list[tuple] = []
+        for part, own in groupby(rows, key=lambda r: r[0]):
+            for row in pieces_of((r[1:] for r in own), part, length):
+                out.append(row)
+                if len(out) == 20_000:
+                    yield _batch(out)
+                    out = []
+        if out:
+            yield _batch(out)
+
+    # Copies, rows of one document, and rows without an id are dealt by content and place.
+    salt = F.xxhash64("doc_id", "start", F.spark_partition_id())
+    keyed = docs.select("doc_id", "start", "doc_tokens", "ids", place(salt, *names).alias("p")).select("p.range", "p.key", "doc_id", "start", "doc_tokens", "ids")
+    return keyed.repartition("range").sortWithinPartitions("range", "key", "doc_id", "start", "ids").select("range", "doc_id", "start", "doc_tokens", "ids").mapInArrow(pack, PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
