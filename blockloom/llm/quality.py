@@ -17,7 +17,7 @@ by a model fitted without its part (of ``FOLDS``), so all of them count.
 
 Defined cases: a null or empty text has no features and so the score 0 plus
 bias; labels with a null are not fitted on; a document labelled twice is fitted
-on twice; without labels, or with one grade only, everything scores as the top
+on twice, and so is an id that stands on two rows, within ``FIT_ROWS`` in all; without labels, or with one grade only, everything scores as the top
 grade and is kept; extra columns are ignored.
 """
 
@@ -68,12 +68,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = spans(buf, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    hashes = word_hashes(buf, starts, ends)
+    hashes = word_hashes(buf, starts, ends)[0]
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
     low = _LOWER[buf]
     s, e, f = spans(low, offsets, _LETTER)
-    names = np.repeat(np.arange(len(n)), np.diff(f)) * SIZE + (word_hashes(low, s, e) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    names = np.repeat(np.arange(len(n)), np.diff(f)) * SIZE + (word_hashes(low, s, e)[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     last = buf[ends - 1].astype(np.int64)
     before = buf[np.maximum(ends - 2, starts)].astype(np.int64)
     tails = _TAILS + (mix((before * 256 + last).astype(np.uint64)) >> np.uint64(64 - TAIL_BITS)).astype(np.int64)
@@ -180,16 +180,16 @@ def held_out_tails(feature: list[np.ndarray], value: list[np.ndarray], grades: n
 
 
 def featured(df: DataFrame) -> DataFrame:
-    """``grade`` and the features of ``text``, as bytes."""
+    """``at``, ``grade`` and the features of ``text``, as bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             row, feature, value = features(batch.column("text"))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             parts = [(feature[i:j].astype(np.int32).tobytes(), value[i:j].astype(np.float32).tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([a for a, _ in parts], pa.binary()), pa.array([b for _, b in parts], pa.binary())], names=["grade", "feature", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("grade"), pa.array([a for a, _ in parts], pa.binary()), pa.array([b for _, b in parts], pa.binary())], names=["at", "grade", "feature", "value"])
 
-    return df.select("grade", "text").mapInArrow(rows, "grade int, feature binary, value binary")
+    return df.select("at", "grade", "text").mapInArrow(rows, "at long, grade int, feature binary, value binary")
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
@@ -198,9 +198,9 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     rated = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").alias("rated_id"), grade.cast("int").alias("grade"))
     some = rated.orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(fit_rows)
-    # At most fit_rows ids: their size is bounded by the parameter.
+    # At most fit_rows ids: their size is bounded by the parameter, and so is what comes back, however often an id stands in ``docs``.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("id") == F.col("rated_id"))
-    got = featured(rows.select("grade", "text")).toArrow()
+    got = featured(rows.select("grade", "text", F.xxhash64("id", "text", "grade").alias("at"))).orderBy("at", "feature", "value").limit(fit_rows).toArrow()
     # In an order of content, so that the fit does not depend on the order of tasks.
     got = got.sort_by([("feature", "ascending"), ("grade", "ascending")])
     grades = got["grade"].to_numpy().astype(np.int64)
