@@ -146,6 +146,8 @@ def parts(page: str) -> list[Part]:
     elements = [Element("", 0, False, 0)]
     where_of: list[int] = []  # the element of each part
     open_: list[tuple[str, int, bool, str]] = []  # elements: name, number, marked, block name
+    spots: dict[str, list[int]] = defaultdict(list)  # of each name among the open elements
+    walls: list[int] = []  # open blocks but p, beyond which no element is closed unsaid
     sure: list[bool] = [False]  # of each element, or one around it
     block, at, n = 0, 0, len(page)
 
@@ -160,6 +162,12 @@ def parts(page: str) -> list[Part]:
             if not sure[of]:
                 elements[of].words += len(text.split())
 
+    def close(down_to: int) -> None:
+        while len(open_) > down_to:
+            spots[open_.pop()[0]].pop()
+        while walls and walls[-1] >= down_to:
+            walls.pop()
+
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -172,10 +180,9 @@ def parts(page: str) -> list[Part]:
             continue
         _, of, marked, where = open_[-1] if open_ else ("", 0, False, "text")
         if m[1] or m[4]:
-            if any(x[0] == tag for x in open_):
-                while (last := open_.pop())[0] != tag:
-                    pass
-                of = last[1]
+            if spots[tag]:
+                of = open_[spots[tag][-1]][1]
+                close(spots[tag][-1])
             add(tag, of, marked)
         else:
             attributes = m[3] or m[6] or ""
@@ -189,16 +196,15 @@ def parts(page: str) -> list[Part]:
                 at = end.end() if end else n
             elif opens:
                 if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
-                    # A new one ends an open one of its kind, and what that left open.
-                    for i in range(len(open_) - 1, -1, -1):
-                        if open_[i][0] == tag:
-                            del open_[i:]
-                            break
-                        if open_[i][0] in BLOCKS and open_[i][0] != "p":
-                            break
+                    # A new one ends an open one of its kind, and what that left open, unless another block lies between.
+                    if spots[tag] and spots[tag][-1] >= (walls[-1] if walls else 0):
+                        close(spots[tag][-1])
                     _, of, marked, where = open_[-1] if open_ else ("", 0, False, "text")
                     elements[own].up = of
                     sure[own] = sure[of] or elements[own].sure
+                spots[tag].append(len(open_))
+                if tag in BLOCKS and tag != "p":
+                    walls.append(len(open_))
                 open_.append((tag, own, marked or tag in ("article", "main"), tag if tag in BLOCKS else where))
         if tag in BLOCKS:
             block += 1
@@ -278,8 +284,9 @@ def main_text(page: str | None, weights: Weights) -> str:
     for i, p in enumerate(seq):
         if p.block in chosen and not p.dead:
             # A line break is white space; other tags inside a block leave the words as they touch.
-            lines.setdefault(p.block, []).append(p.text if p.text else " " if p.name in ("br", "wbr") else "")
-    text = (_SPACE.sub(" ", entities.unescape("".join(x))).strip() for x in lines.values())
+            # References are decoded run by run: a tag inside one makes it plain text.
+            lines.setdefault(p.block, []).append(entities.unescape(p.text) if p.text else " " if p.name in ("br", "wbr") else "")
+    text = (_SPACE.sub(" ", "".join(x)).strip() for x in lines.values())
     return "\n".join(t for t in text if t)
 
 
