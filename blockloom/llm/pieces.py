@@ -8,8 +8,8 @@ before it is stored as this prefix's last token.  Ids are then read backwards fr
 the table's end.  Time is linear in the text whatever it looks like.
 
 No token has a word mark after another character, so merges never cross from a
-word to the next mark and the table is filled a word at a time; words' ids and
-pairs' verdicts are remembered within fixed bounds.
+word to the next mark and the table is filled a word at a time; the ids of words
+that aren't long and pairs' verdicts are remembered within fixed bounds.
 
 Characters without a token become their UTF-8 bytes' ids; they cut the table.
 
@@ -34,8 +34,8 @@ from blockloom.llm.words import slices
 
 #: Fixed value: the mark that stands for a space.
 MARK = "▁"
-#: Most remembered words and pairs of a worker; beyond that they are made anew.
-WORDS_HELD, PAIRS_HELD = 700_000, 500_000
+#: Most remembered words and pairs of a worker, beyond which they are made anew, and characters of a word that is remembered.
+WORDS_HELD, PAIRS_HELD, WORD_HELD = 500_000, 500_000, 48
 
 
 def default_model() -> str:
@@ -45,14 +45,16 @@ def default_model() -> str:
 
 
 class _Memo(dict):
-    """A dict that makes what it lacks and starts anew above ``most`` entries."""
+    """A dict that makes what it lacks, keeps it if its key is no longer string than ``length``, and starts anew above ``most`` entries."""
 
-    def __init__(self, make, most: int) -> None:
+    def __init__(self, make, most: int, length: int = 0) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.length = make, most, length
 
     def __missing__(self, key):
         value = self.make(key)
+        if self.length and len(key) > self.length:
+            return value
         if len(self) >= self.most:
             self.clear()
         self[key] = value
@@ -88,7 +90,7 @@ class Pieces:
                 self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
         self.follows = _Memo(self._follows, PAIRS_HELD)
-        self.ids_after_mark = _Memo(lambda word: self._encode(MARK + word), WORDS_HELD)
+        self.ids_after_mark = _Memo(lambda word: self._encode(MARK + word), WORDS_HELD, WORD_HELD)
         shown = [b"" if sp.is_control(i) else bytes([int(text[i][1:-1], 16)]) if sp.is_byte(i) else text[i].replace(MARK, " ").encode() for i in range(n)]
         shown[self.unknown] = " ⁇ ".encode()
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
