@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import table, written
 
-#: Rows of one ordering bucket: 2 to this power consecutive ids.
-BUCKET_BITS = 9
+#: Ids of one ordering bucket, and keys that rows without an id are spread over: 2 to these powers.
+BUCKET_BITS, NULL_BITS = 9, 30
 
 
 def canonical(text: Column) -> Column:
@@ -42,14 +42,6 @@ def wide_digest(canon: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(canon)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), canon)), 16, "0")))
 
 
-def collisions(forms: DataFrame) -> DataFrame:
-    """Digests of ``forms`` (canon, digest) that stand for more than one byte sequence.
-
-    Copies collapse before the shuffle, so a hot group costs a row per task.
-    """
-    return forms.groupBy("digest", "canon").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.sum("one").alias("n")).where("n > 1").select("digest")
-
-
 def fingerprints(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column] = wide_digest) -> DataFrame:
     """One row per row of ``df``: ``doc_id``, ``fingerprint``.
 
@@ -62,56 +54,98 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Co
 
 
 def clashes(forms: DataFrame) -> DataFrame | None:
-    """(digest, variants) for each digest of several byte sequences; None where there are none."""
-    bad = collisions(forms.select("canon", "digest"))
+    """(digest, variants) for each digest of ``forms`` (canon, digest) that stands for several byte sequences; None where there are none.
+
+    The least and the greatest text of a bucket are compared; copies collapse
+    before the shuffle, so a hot group costs two rows per task.
+    """
+    texts = forms.select("digest", F.col("canon").cast("binary").alias("canon"))
+    bad = written(texts.groupBy("digest").agg(F.min("canon").alias("a"), F.max("canon").alias("z")).where("a <> z").select("digest"), "clashes")
     if bad.isEmpty():
         return None
-    return forms.join(bad, "digest", "left_semi").groupBy("digest").agg(F.array_sort(F.collect_set(F.col("canon").cast("binary"))).alias("variants"))
+    return texts.join(bad, "digest", "left_semi").groupBy("digest").agg(F.array_sort(F.collect_set("canon")).alias("variants"))
 
 
 def resolved(forms: DataFrame, canon: str, digest: str, found: DataFrame | None) -> DataFrame:
-    """``forms`` with column ``digest`` made distinct for each byte sequence."""
+    """``forms`` with column ``digest`` made distinct for each byte sequence; ``found`` must know all texts."""
     if found is None:
         return forms
     rank = F.array_position("variants", F.col(canon).cast("binary"))
-    named = F.when(F.coalesce(rank, F.lit(0)) > 0, F.concat(F.col(digest), F.lit("-"), rank.cast("string"))).when(F.col("variants").isNotNull(), F.concat(F.col(digest), F.lit("-x"))).otherwise(F.col(digest))
+    named = F.when(F.col("variants").isNotNull(), F.concat(F.col(digest), F.lit("-"), rank.cast("string"))).otherwise(F.col(digest))
     return forms.join(found.withColumnRenamed("digest", "__of"), F.col(digest) == F.col("__of"), "left").withColumn(digest, named).drop("__of", "variants")
 
 
 def with_next(df: DataFrame, lo: int, hi: int) -> DataFrame:
-    """``df`` (k long, v string, neither null) plus ``v_next``: the v of the next row in descending k, after the last the first's.
+    """``df`` (k long, v, no nulls) plus ``v_next``, the v of the next row in descending k, after the last the first's, and ``b``, k's bucket.
 
     Buckets of consecutive k are ordered on their own; each bucket's last row
     takes the head of the next bucket that has rows, which the same rule finds
     among the heads.  Equal k are ordered by v.
     """
+    rows = df.withColumn("b", F.shiftright("k", BUCKET_BITS))
     if hi - lo < 1 << BUCKET_BITS:
         whole = Window.partitionBy(F.lit(0)).orderBy(F.col("k").desc(), "v")
-        return df.withColumn("v_next", F.coalesce(F.lead("v").over(whole), F.first("v").over(whole)))
-    rows = df.withColumn("b", F.shiftright("k", BUCKET_BITS))
+        return rows.withColumn("v_next", F.coalesce(F.lead("v").over(whole), F.first("v").over(whole)))
     heads = rows.groupBy("b").agg(F.min(F.struct(F.bitwise_not("k").alias("r"), "v")).alias("h")).select(F.col("b").alias("k"), F.col("h.v").alias("v"))
     if (hi >> BUCKET_BITS) - (lo >> BUCKET_BITS) >= 1 << BUCKET_BITS:
         heads = written(heads, "heads")  # else each level would double the plan
     after = with_next(heads, lo >> BUCKET_BITS, hi >> BUCKET_BITS).select(F.col("k").alias("b"), F.col("v_next").alias("head"))
     own = Window.partitionBy("b").orderBy(F.col("k").desc(), "v")
-    return rows.withColumn("lead", F.lead("v").over(own)).join(after, "b", "left").withColumn("v_next", F.coalesce("lead", "head")).drop("b", "lead", "head")
+    return rows.withColumn("lead", F.lead("v").over(own)).join(after, "b", "left").withColumn("v_next", F.coalesce("lead", "head")).drop("lead", "head")
+
+
+def edits(docs: DataFrame, digest: Callable[[Column], Column] = wide_digest) -> DataFrame:
+    """``docs`` (doc_id, text) with their edited texts and the digests of both.
+
+    Own texts are made canonical once, before they are dealt by bucket; the next
+    document's digest comes with its text.  Where digests are equal the
+    texts themselves are compared.
+    """
+    text = F.coalesce("text", F.lit(""))
+    # Rows without an id come last; they are spread over keys of their own by content and partition, as they may be many.
+    none = F.lit(-(2**63)) + F.pmod(F.xxhash64(text, F.spark_partition_id()), F.lit(1 << NULL_BITS))
+    v = F.struct(text.alias("text"), digest(canonical(text)).alias("digest"))
+    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), none).alias("k"), v.alias("v"))
+    ends = docs.agg(F.min("doc_id").cast("long").alias("lo"), F.max("doc_id").cast("long").alias("hi"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    lo = -(2**63) if ends["none"] else ends["lo"] or 0
+    rows = with_next(keyed, lo, -(2**63) + (1 << NULL_BITS) if ends["hi"] is None and ends["none"] else ends["hi"] or 0)
+    own, after = F.col("v.text"), F.col("v_next.text")
+    n = F.char_length(own)
+    cut = F.floor(n / 3).cast("int")
+    rows = rows.select("doc_id", "k", "b", n.cast("long").alias("n_chars"), own.alias("own"), F.col("v.digest").alias("fingerprint"), after.alias("after"), F.col("v_next.digest").alias("next_digest"), F.concat(own.substr(F.lit(1), n - cut), after.substr(F.lit(1), cut)).alias("edited"))
+    rows = rows.withColumn("changed", canonical(F.col("edited"))).withColumn("edited_fingerprint", digest(F.col("changed")))
+
+    def alike(same: Column, other: Column) -> Column:
+        return F.when(same, canonical(F.col("own")) == other).otherwise(F.lit(False)).cast("double")
+
+    near = alike(F.col("fingerprint") == F.col("edited_fingerprint"), F.col("changed")), alike(F.col("fingerprint") == F.col("next_digest"), canonical(F.col("after")))
+    return rows.select("doc_id", "k", "b", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "changed", "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"))
+
+
+def edited_fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = wide_digest) -> DataFrame:
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of ``docs`` (doc_id, text)."""
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    every = edits(docs, digest)
+    kept = written(every.select("k", "b", *columns), "digests")
+    # Only texts whose digest stands on more than one row are held against each other, own and edited ones alike.
+    seen = kept.select("k", "b", F.explode(F.array_distinct(F.array("fingerprint", "edited_fingerprint"))).alias("digest"))
+    shared = seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    marks = seen.join(shared, "digest", "left_semi").groupBy("b").agg(F.collect_set("k").alias("ks"), F.collect_set("digest").alias("digests"))
+    # A bucket has few ids, and its rows are where the edit put them, so no text is dealt again before copies collapse.
+    some = every.select("k", "b", "own", "changed", "fingerprint", "edited_fingerprint").join(marks, "b").where(F.array_contains("ks", F.col("k")))
+    both = F.explode(F.array(F.struct(canonical(F.col("own")).alias("canon"), F.col("fingerprint").alias("digest")), F.struct(F.col("changed").alias("canon"), F.col("edited_fingerprint").alias("digest"))))
+    found = clashes(some.select(both.alias("f"), "digests").where(F.array_contains("digests", F.col("f.digest"))).select("f.*"))
+    if found is None:
+        return kept.select(*columns)
+    rows = every.withColumn("own", canonical(F.col("own")))
+    for canon, name in (("own", "fingerprint"), ("changed", "edited_fingerprint")):
+        rows = resolved(rows, canon, name, found)
+    return rows.select(*columns)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text (see the README's contract).
+    """Fingerprints of every document and of its edited text.
 
     A null doc_id comes after all others in the descending order.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("v"))
-    found = clashes(docs.select(canonical(F.col("v")).alias("canon")).withColumn("digest", wide_digest(F.col("canon"))))
-    keyed = docs.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    ends = keyed.agg(F.min("k").alias("lo"), F.max("k").alias("hi")).first()
-    rows = with_next(keyed, ends["lo"] or 0, ends["hi"] or 0)
-    n = F.char_length("v")
-    cut = F.floor(n / 3).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "v", "v_next", F.concat(F.col("v").substr(F.lit(1), n - cut), F.col("v_next").substr(F.lit(1), cut)).alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(canonical(F.col(c)).alias(a) for c, a in (("v", "own"), ("v_next", "next"), ("edited", "changed"))))
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", "own", "changed", wide_digest(F.col("own")).alias("fingerprint"), wide_digest(F.col("changed")).alias("edited_fingerprint"), (F.col("own") == F.col("changed")).cast("double").alias("near_edited"), (F.col("own") == F.col("next")).cast("double").alias("near_next"))
-    for canon, digest in (("own", "fingerprint"), ("changed", "edited_fingerprint")):
-        rows = resolved(rows, canon, digest, found)
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
