@@ -10,19 +10,23 @@ similarity of 0.8 or more.
    time; a pair is dropped as soon as the posterior probability (uniform prior)
    that its similarity reaches the threshold is below ``TOLERANCE``.  Pairs that
    stay only tie their texts together: a bucket sends a star per cluster,
-   never its pairs.  A bucket above ``MOST`` texts is tied together as a whole,
-   which prunes nothing and so loses nothing.
-4. Tied clusters are verified exactly, all pairs of a cluster, on shingle sets.
-   A cluster above ``MOST`` texts is cut into blocks and each pair of blocks is
-   a task of its own.  Counts of links and a spanning forest leave the task.
+   never its pairs.  A bucket above ``MOST`` texts is tied together as a whole
+   here, and its pairs are pruned in the next step.
+4. Tied clusters are verified.  One above ``MOST`` texts is cut into blocks, and
+   each pair of blocks is a task of its own.  A task prunes its pairs as
+   above and verifies those that stay exactly, on shingle sets.  Counts of links
+   and a spanning forest leave the task.
 5. Connected components of the forests are the classes.
 
+Texts of one word sequence are found by a 128-bit hash of their bytes, words
+joined by one space.
+
 Defined cases: words are runs of characters other than ASCII white space,
 unchanged; a text of one to four words is one shingle; texts without words
 (null, empty, blank) link to nothing and are classes of their own; rows that
-repeat an id are one document, with the least of their texts, and get the same
-result; rows without an id link to nothing and have a null class.  Extra
-columns are ignored; an empty table gives an empty result.
+repeat an id are documents of their own, each with its own text, and so are rows
+without an id; a class without any id is null.  Extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import ship, table, written
-from blockloom.llm.words import flat, mask_inside, mix, slices, spans, window_hashes, word_hashes
+from blockloom.llm.words import flat, mask_inside, mix, respaced, slices, spans, window_hashes, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -44,8 +49,8 @@ HASHES, BAND = 128, 4
 #: A pair goes when the posterior probability of reaching the threshold is below this.
 TOLERANCE = 1e-9
 STEPS = (16, 32, 64, 128)
-#: Texts that one task compares with one another.
-MOST = 1024
+#: Texts that are compared with one another at once, and those of a block of a larger group.
+MOST, BLOCK = 512, 256
 
 _rng = np.random.Generator(np.random.PCG64(5))
 _MULTIPLY = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,28 +78,26 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def shingle_sets(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(values, bounds, words, sequence): each text's ascending distinct shingles lie between its bounds; words: how many; sequence: two 64-bit hashes of the whole word sequence."""
+def shingle_sets(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(values, bounds, words, sequence): each text's ascending distinct shingles lie between its bounds; words: how many; sequence: a 128-bit hash of the words' bytes."""
     buf, offsets = flat(texts)
     starts, ends, first = spans(buf, offsets)
-    hashes = word_hashes(buf, starts, ends)
+    hashes = word_hashes(buf, starts, ends)[0]
     n = np.diff(first)
     text = np.repeat(np.arange(len(n)), n)
     ok = mask_inside(first, SHINGLE)
     values, owner = window_hashes(hashes, SHINGLE)[ok], text[: len(ok)][ok]
-    total = [np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)]
-    for which in (0, 1):  # of position-dependent values, so that a sum stands for the sequence
-        place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(first[:-1], n).astype(np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + mix(place + np.uint64(which * 0x632BE59BD9B4E019))), dtype=np.uint64)])
-        total[which] = mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64))
+    data, at = respaced(buf, starts, ends, text, len(n))
+    data, at = memoryview(np.ascontiguousarray(data)), at.tolist()
+    sequence = [xxhash.xxh3_128_digest(data[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
-    values, owner = np.concatenate([values, total[0][short]]), np.concatenate([owner, short])
+    values, owner = np.concatenate([values, np.array([int.from_bytes(sequence[i][:8], "little") for i in short], np.uint64)]), np.concatenate([owner, short])
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     fresh = np.ones(len(values), bool)
     fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     values, owner = values[fresh], owner[fresh]
-    return values, np.searchsorted(owner, np.arange(len(n) + 1)), n, np.stack(total, 1)
+    return values, np.searchsorted(owner, np.arange(len(n) + 1)), n, sequence
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -214,6 +217,20 @@ def spanning(links: np.ndarray) -> np.ndarray:
     return label
 
 
+def verified(sets: list[np.ndarray], sig: np.ndarray, threshold: float, least: dict[int, int]) -> np.ndarray:
+    """Which pairs are linked: those that pruning leaves, verified exactly among the texts they tie together."""
+    alive = np.zeros((len(sets), len(sets)), bool)
+    for i in range(0, len(sets), 256):
+        alive[i : i + 256] = survivors(sig[i : i + 256], sig, least)
+    out = np.zeros_like(alive)
+    label = spanning(alive)
+    order = np.argsort(label, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        if len(group) > 1:
+            out[np.ix_(group, group)] = linked([sets[i] for i in group], threshold)
+    return out & alive
+
+
 def components(edges: DataFrame, what: str) -> DataFrame:
     """(v, c): for each vertex of ``edges`` (a, b) the least vertex of its component.
 
@@ -244,12 +261,14 @@ def similarity_classes(df: DataFrame, id_col: str, text_col: str, threshold: flo
     """A row for each row of ``df``: ``doc_id``, ``class_id`` (the least doc_id of its component), ``n_links`` (other documents at the threshold or above, copies included), ``n_copies`` (other documents of the same word sequence)."""
     ship(df.sparkSession)
     every = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = every.where("doc_id is not null")
-    if not every.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
-        found = _classes(rows.groupBy("doc_id").agg(F.min("text").alias("text")), threshold)
-        out = every.select("doc_id").join(found, "doc_id", "left")
-        return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
-    return _classes(rows, threshold)
+    if every.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return _classes(every, threshold)
+    # Ids that don't tell rows apart: rows get numbers, which stay as they are once written.
+    numbered = written(every.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = _classes(numbered.select(F.col("row").alias("doc_id"), "text"), threshold).withColumnRenamed("doc_id", "row")
+    rows = written(found.join(numbered.select("row", "doc_id"), "row"), "rows")
+    least = rows.groupBy("class_id").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "class_id").select("doc_id", F.col("least").alias("class_id"), "n_links", "n_copies")
 
 
 def _classes(rows: DataFrame, threshold: float) -> DataFrame:
@@ -262,9 +281,8 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
             full = n > 0
             sig = np.zeros((len(n), HASHES), np.uint32)
             sig[full] = signatures(values, np.concatenate([bounds[:-1][full], bounds[-1:]]))
-            key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(np.ascontiguousarray(sequence))]).cast(pa.binary())
             sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * HASHES), len(n), [None, pa.py_buffer(sig)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), key, sigs], names=["doc_id", "n_words", "sequence", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sequence, pa.binary()), sigs], names=["doc_id", "n_words", "sequence", "sig"])
 
     # One table of keys and signatures; a signature is kept once for each word sequence of a task.
     signed = written(rows.mapInArrow(sign, "doc_id long, n_words long, sequence binary, sig binary"), "signed")
@@ -316,25 +334,29 @@ def _verified(rows: DataFrame, signed: DataFrame, reps: DataFrame, tied: DataFra
     """Exact links inside tied clusters, then classes."""
     members = tied.select(F.col("v").alias("rep"), F.col("c").alias("cluster")).join(reps.select("rep", F.col("n").alias("copies")), "rep")
     sized = members.join(members.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
-    n_blocks = F.ceil(F.col("m") / F.lit(MOST // 2)).cast("int")
+    n_blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     dealt = sized.withColumn("blocks", F.when(F.col("m") <= MOST, F.lit(1)).otherwise(n_blocks)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = written(dealt.select("rep", "cluster", "copies", "blocks", "block"), "dealt")
+    least = least_matches(threshold)
     texts = rows.join(dealt, F.col("doc_id") == F.col("rep"), "inner").dropDuplicates(["rep"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             values, bounds, _, _ = shingle_sets(batch.column("text"))
+            # All these texts have words: short ones are one shingle.
+            sigs = signatures(values, bounds).astype(np.uint8)
             data = [values[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "cluster", "copies", "blocks", "block")] + [pa.array(data, pa.binary())], names=["rep", "cluster", "copies", "blocks", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "cluster", "copies", "blocks", "block")] + [pa.array(data, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary())], names=["rep", "cluster", "copies", "blocks", "block", "shingles", "sig"])
 
-    kept = texts.mapInArrow(sets, "rep long, cluster long, copies long, blocks int, block int, shingles binary")
+    kept = texts.mapInArrow(sets, "rep long, cluster long, copies long, blocks int, block int, shingles binary, sig binary")
     # Of b blocks, tasks (i, j) with i <= j; block i is in b of them.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = kept.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
     def check(t: pa.Table) -> pa.Table:
         ids, copies, block = (np.asarray(t[c]) for c in ("rep", "copies", "block"))
-        found = linked([np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()], threshold)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        found = verified([np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()], sig, threshold, least)
         if len(np.unique(block)) > 1:  # pairs inside a block are counted by the block's own task
             found &= block[:, None] != block[None, :]
         elif t["lo"][0].as_py() != t["hi"][0].as_py():
