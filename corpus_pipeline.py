@@ -6,8 +6,8 @@ documents.  ``run`` writes each stage as parquet in the shared folder and reread
 
 Defined cases: texts that are null or empty go through every stage (the
 classifier rates them by its thresholds alone, they have no near duplicates and
-nothing to remove, and pack as one end id); rows with a null doc_id are never
-near duplicates of others; an empty table gives an empty result; columns beside
+nothing to remove, and pack as one end id); rows with a null doc_id stay
+whatever they are near to; an empty table gives an empty result; columns beside
 those of documents are dropped.
 """
 
@@ -36,10 +36,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id stays.
 
-    Rows that repeat an id stay or go together.
+    Rows that repeat an id stay or go together: they stay if one of them leads its group.
     """
     classes = similarity_classes(docs, "doc_id", "text")
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    gone = classes.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("leads")).where("not leads").select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
