@@ -8,6 +8,8 @@ from dataclasses import dataclass
 MIB = 1 << 20
 #: Most pages of a block, and the default block limit.
 MOST_PAGES, DEFAULT_LIMIT = 64, 64 * MIB
+#: Sums of sizes stop here.
+MOST_BYTES = (1 << 63) - 1
 
 
 def block_limit(setting: str | None) -> int:
@@ -55,5 +57,5 @@ class Geometry:
 
 
 def enough_disk(free_bytes: int, existing_bytes: int, storage_bytes: int) -> bool:
-    """Whether free space and what the store's files already hold suffice."""
-    return free_bytes + existing_bytes >= storage_bytes
+    """Whether free space and what the store's files already hold suffice; a sum too large to count does."""
+    return min(free_bytes + existing_bytes, MOST_BYTES) >= storage_bytes

@@ -10,26 +10,42 @@ Operations, in order within a shard:
 * ``x`` rejected: touches nothing.
 
 A shard's rows meet in one partition in order and are folded as a stream: the
-state is the shard's slots, never its trace.
+state is the shard's slots, never its trace.  The state after a replay is a table
+(``STATE``) that another replay can start from.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A shard's slots: the resident keys, least recently used first, then the free slots (no key), the next to be used last.
+STATE = "shard bigint, rank bigint, block_key string, slot bigint"
+
+
+@dataclass
+class Snapshot:
+    """Resident keys and their slots, least recently used first, and the free slots, the next to be used last."""
+
+    held: list[tuple[str, int]] = field(default_factory=list)
+    free: list[int] = field(default_factory=list)
 
 
 class Shard:
     """Slots of one shard."""
 
-    def __init__(self, capacity: int) -> None:
+    def __init__(self, capacity: int, snapshot: Snapshot | None = None) -> None:
+        self.capacity = capacity
         self.held: OrderedDict[str, int] = OrderedDict()
         self.free = list(range(capacity))
+        if snapshot is not None:
+            self.restore(snapshot)
 
     def apply(self, op: str, key: str) -> tuple[bool, int, str | None]:
         """(hit, slot or -1, evicted key) of one operation."""
@@ -51,37 +67,88 @@ class Shard:
                 held[key] = slot
         return hit, slot, evicted
 
-    def snapshot(self) -> list[tuple[str, int]]:
-        """Resident keys and slots, least recently used first."""
-        return list(self.held.items())
+    def snapshot(self) -> Snapshot:
+        return Snapshot(list(self.held.items()), list(self.free))
 
-    @classmethod
-    def restored(cls, capacity: int, entries: list[tuple[str, int]]) -> Shard:
-        out = cls(capacity)
-        out.held = OrderedDict(entries)
-        used = set(out.held.values())
-        out.free = [i for i in range(capacity) if i not in used]
-        return out
+    def restore(self, snapshot: Snapshot | None) -> None:
+        """Take over a snapshot; one that is missing, or doesn't have each of the shard's slots once, is refused."""
+        if snapshot is None:
+            raise ValueError("no snapshot")
+        slots = [s for _, s in snapshot.held] + list(snapshot.free)
+        if sorted(slots) != list(range(self.capacity)) or len({k for k, _ in snapshot.held}) < len(snapshot.held):
+            raise ValueError(f"a snapshot of {len(slots)} slots doesn't fit a shard of {self.capacity}")
+        self.held, self.free = OrderedDict(snapshot.held), list(snapshot.free)
 
 
-def replay(trace: DataFrame, capacity: int, seq: tuple[str, str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of ``trace`` (shard, op, block_key, the two ``seq`` columns and those to ``carry``) with hit, slot and evicted key."""
+def folded(trace: DataFrame, capacity: int, seq: tuple[str, str], carry: tuple[str, ...] = (), initial: DataFrame | None = None) -> DataFrame:
+    """``trace`` (shard, op, block_key, the two ``seq`` columns and those to ``carry``) with ``hit, slot, evicted``, and after each shard's rows its ``STATE``.
+
+    Rows of a state have a ``rank``, those of the trace have none.  ``initial``
+    is the state to start from; shards that it lacks start empty, and shards
+    without any trace keep theirs.
+    """
     a, b = seq
-    rows = trace.select("shard", a, F.col(b).cast("bigint").alias(b), "op", "block_key", *carry)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", hit boolean, slot bigint, evicted string"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, Shard(capacity)
-        for pdf in batches:
-            out = []
-            for shard, op, key in zip(pdf["shard"], pdf["op"], pdf["block_key"], strict=True):
-                if shard != at:
-                    at, state = shard, Shard(capacity)
-                out.append(state.apply(op, key))
-            yield pdf.assign(hit=[x[0] for x in out], slot=[x[1] for x in out], evicted=[x[2] for x in out])
-
-    # The partitioning comes from the shard alone, so that a shard is whole in one task.
-    return rows.repartition("shard").sortWithinPartitions("shard", a, b).mapInPandas(fold, schema)
+    rows = trace.select(F.col("shard").cast("bigint").alias("shard"), a, F.col(b).cast("bigint").alias(b), "op", "block_key", *carry)
+    rows = rows.withColumns({"rank": F.lit(None).cast("bigint"), "slot": F.lit(None).cast("bigint")})
+    if initial is not None:
+        known = {"shard": F.col("shard").cast("bigint"), "op": F.lit("i"), "block_key": F.col("block_key"), "rank": F.col("rank").cast("bigint"), "slot": F.col("slot").cast("bigint")}
+        rows = rows.unionAll(initial.select(*(known.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema.fields)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", hit boolean, evicted string"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard, start, kinds = None, Shard(capacity), Snapshot(), None
+
+        def begin() -> None:
+            nonlocal start
+            if start.held or start.free:
+                shard.restore(start)
+                start = Snapshot()
+
+        def state() -> pa.RecordBatch:
+            begin()
+            snap = shard.snapshot()
+            n = len(snap.held) + len(snap.free)
+            own = {"shard": [at] * n, "op": ["i"] * n, "block_key": [k for k, _ in snap.held] + [None] * len(snap.free), "slot": [s for _, s in snap.held] + snap.free, "rank": list(range(n))}
+            return pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(n, f.type) for f in kinds], schema=kinds)
+
+        for batch in batches:
+            kinds = kinds or pa.schema([*batch.schema, pa.field("hit", pa.bool_()), pa.field("evicted", pa.string())])
+            edges = np.flatnonzero(np.diff(np.asarray(batch.column("shard")), prepend=np.nan, append=np.nan)) if batch.num_rows else [0]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(i, j - i)
+                number = part.column("shard")[0].as_py()
+                if number != at:
+                    if at is not None:
+                        yield state()
+                    at, shard, start = number, Shard(capacity), Snapshot()
+                n = j - i - part.column("rank").null_count
+                for key, slot in zip(part.column("block_key").slice(0, n).to_pylist(), part.column("slot").slice(0, n).to_pylist(), strict=True):
+                    if key is None:
+                        start.free.append(slot)
+                    else:
+                        start.held.append((key, slot))
+                part = part.slice(n)
+                if part.num_rows:
+                    begin()
+                    out = [shard.apply(op, key) for op, key in zip(part.column("op").to_pylist(), part.column("block_key").to_pylist(), strict=True)]
+                    made = {"hit": [x[0] for x in out], "slot": [x[1] for x in out], "evicted": [x[2] for x in out]}
+                    yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else part.column(f.name) for f in kinds], schema=kinds)
+        if at is not None:
+            yield state()
+
+    # The partitioning comes from the shard alone, so that a shard is whole in one task; its state (rows with a rank) comes first.
+    return rows.repartition("shard").sortWithinPartitions("shard", F.col("rank").isNull(), "rank", a, b).mapInArrow(fold, schema)
+
+
+def replay(trace: DataFrame, capacity: int, seq: tuple[str, str], carry: tuple[str, ...] = (), initial: DataFrame | None = None) -> DataFrame:
+    """Every row of ``trace`` with hit, slot and evicted key, from an empty store or from the state ``initial``."""
+    out = folded(trace, capacity, seq, carry, initial).where("rank is null")
+    return out.select("shard", *seq, "op", "block_key", *carry, "hit", "slot", "evicted")
+
+
+def state_of(done: DataFrame) -> DataFrame:
+    """The ``STATE`` after ``folded`` rows."""
+    return done.where("rank is not null").select("shard", "rank", "block_key", "slot")
 
 
 def final_residents(replayed: DataFrame, seq: tuple[str, str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.operators.metrics import running_sum
+
 #: States of a block.
 INITIAL, WORKING, FINISHED, ABORTED = 0, 1, 2, 3
 
@@ -50,11 +52,20 @@ def rollup(tasks: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.select("task_id", "mode", "n_blocks", "finished", "aborted", ready.alias("ready"), safe.alias("data_safe"), states.alias("states"))
 
 
-def active(tasks: DataFrame) -> DataFrame:
+#: Instants of a bucket that sums of tasks in flight are carried over.
+SPAN = 3_600_000_000
+
+
+def active(tasks: DataFrame, mode: str | None = None, span: int = SPAN) -> DataFrame:
     """Tasks in flight by mode after each start or end (task_id, mode, begin, end): (mode, instant, n_active).
 
-    Events are summed per instant and mode first; the running sum is over instants.
+    Events are summed per instant and mode first; instants are then summed up
+    inside spans of time, whose totals are carried on.  A task without blocks ends
+    where it begins.  Any other ``mode`` than r, w or None is refused.
     """
-    events = tasks.select("mode", F.col("begin").alias("instant"), F.lit(1).alias("d")).unionAll(tasks.select("mode", F.col("end").alias("instant"), F.lit(-1).alias("d")))
+    if mode not in (None, "r", "w"):
+        raise ValueError(f"unknown mode {mode!r}")
+    rows = tasks.where(F.col("mode") == mode) if mode else tasks
+    events = rows.select("mode", F.col("begin").alias("instant"), F.lit(1).alias("d")).unionAll(rows.select("mode", F.col("end").alias("instant"), F.lit(-1).alias("d")))
     per = events.groupBy("mode", "instant").agg(F.sum("d").alias("d"))
-    return per.select("mode", "instant", F.sum("d").over(Window.partitionBy("mode").orderBy("instant")).cast("bigint").alias("n_active"))
+    return running_sum(per, ["mode"], "instant", "d", F.floor(F.col("instant") / span)).select("mode", "instant", F.col("total").alias("n_active"))

@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.functions.geometry import DEFAULT_LIMIT, MOST_PAGES, Geometry
+from blockloom.functions.geometry import DEFAULT_LIMIT, MOST_BYTES, MOST_PAGES, Geometry, block_limit, enough_disk
 from blockloom.functions.keys import shard_of, word_tokens
 from blockloom.operators import blocks as B
 from blockloom.operators import lru, metrics, movement, tasks
+from blockloom.operators.engine import ParquetEngine
+from blockloom.service import BlockCache
+from blockloom.sources.shared import fresh_path, written
 from blockloom.sources.tables import spread, table
 
 #: Tokens of a block, shards and slots of a shard.
@@ -47,6 +50,11 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     return B.block_rows(requests(spark, sf).drop("start_pos"), N, "task_id", "seq", "lang", "source", "mode")
 
 
+def blocks_once(spark: SparkSession, sf: str) -> DataFrame:
+    """``blocks``, made once and written, for queries that use them more than once."""
+    return written(blocks(spark, sf), "blocks")
+
+
 def kv_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Page payloads: the digest of a vector's values in millionths."""
     digits = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6).cast("bigint").cast("string"))
@@ -84,24 +92,27 @@ _SQL_TRACE = f"""trace AS (
     md5((user_id % {KEYS})::VARCHAR) AS block_key, {_SQL_SHARD.format(f"md5((user_id % {KEYS})::VARCHAR)")} AS shard FROM events)"""
 
 
-def _fold_sql(source: str, capacity: int) -> str:
-    """The replay as a recursion over each shard's rows: keys and slots as lists, least recently used first."""
-    return f"""seqd AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ts, event_id) AS rn FROM {source}),
+def _fold_sql(source: str, capacity: int, order: str = "ts, event_id", keep: str = "ts, event_id") -> str:
+    """The replay as a recursion over each shard's rows: keys and slots as lists, least recently used first, and the free slots, the next to be used last."""
+    return f"""seqd AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {order}) AS rn FROM {source}),
 run AS (
-  SELECT shard, 0::BIGINT AS rn, []::VARCHAR[] AS ks, []::BIGINT[] AS ss, false AS hit, -1::BIGINT AS slot, NULL::VARCHAR AS evicted
+  SELECT shard, 0::BIGINT AS rn, []::VARCHAR[] AS ks, []::BIGINT[] AS ss, range(0, {capacity})::BIGINT[] AS fs, false AS hit, -1::BIGINT AS slot, NULL::VARCHAR AS evicted
   FROM (SELECT DISTINCT shard FROM seqd)
   UNION ALL
   SELECT shard, rn,
-    CASE WHEN p > 0 AND op <> 'r' THEN list_append(list_concat(ks[:p-1], ks[p+1:]), block_key)
-         WHEN p = 0 AND op = 'w' AND {capacity} > 0 THEN list_append(CASE WHEN len(ks) < {capacity} THEN ks ELSE ks[2:] END, block_key) ELSE ks END,
-    CASE WHEN p > 0 AND op <> 'r' THEN list_append(list_concat(ss[:p-1], ss[p+1:]), ss[p])
-         WHEN p = 0 AND op = 'w' AND {capacity} > 0 THEN list_append(CASE WHEN len(ss) < {capacity} THEN ss ELSE ss[2:] END, new) ELSE ss END,
-    p > 0, CASE WHEN p > 0 THEN ss[p] WHEN op = 'w' AND {capacity} > 0 THEN new ELSE -1 END,
-    CASE WHEN p = 0 AND op = 'w' AND {capacity} > 0 AND len(ks) = {capacity} THEN ks[1] END
-  FROM (SELECT r.shard, s.rn, s.op, s.block_key, r.ks, r.ss, coalesce(list_position(r.ks, s.block_key), 0) AS p,
-      CASE WHEN len(r.ks) < {capacity} THEN {capacity} - 1 - len(r.ks) ELSE r.ss[1] END AS new
-    FROM run r JOIN seqd s ON s.shard = r.shard AND s.rn = r.rn + 1)),
-replayed AS (SELECT s.shard, s.ts, s.event_id, s.op, s.block_key, r.hit, r.slot, r.evicted FROM seqd s JOIN run r USING (shard, rn))"""
+    CASE WHEN p > 0 AND op IN ('q', 'w') THEN list_append(list_concat(ks[:p-1], ks[p+1:]), block_key)
+         WHEN p > 0 AND op = 'f' THEN list_concat(ks[:p-1], ks[p+1:])
+         WHEN new >= 0 THEN list_append(CASE WHEN len(fs) > 0 THEN ks ELSE ks[2:] END, block_key) ELSE ks END,
+    CASE WHEN p > 0 AND op IN ('q', 'w') THEN list_append(list_concat(ss[:p-1], ss[p+1:]), ss[p])
+         WHEN p > 0 AND op = 'f' THEN list_concat(ss[:p-1], ss[p+1:])
+         WHEN new >= 0 THEN list_append(CASE WHEN len(fs) > 0 THEN ss ELSE ss[2:] END, new) ELSE ss END,
+    CASE WHEN p > 0 AND op = 'f' THEN list_append(fs, ss[p]) WHEN new >= 0 AND len(fs) > 0 THEN fs[:len(fs) - 1] ELSE fs END,
+    p > 0, CASE WHEN p > 0 THEN ss[p] ELSE new END,
+    CASE WHEN new >= 0 AND len(fs) = 0 THEN ks[1] END
+  FROM (SELECT *, CASE WHEN p > 0 OR op <> 'w' OR {capacity} = 0 THEN -1 WHEN len(fs) > 0 THEN fs[len(fs)] ELSE ss[1] END AS new
+    FROM (SELECT r.shard, s.rn, s.op, s.block_key, r.ks, r.ss, r.fs, coalesce(list_position(r.ks, s.block_key), 0) AS p
+      FROM run r JOIN seqd s ON s.shard = r.shard AND s.rn = r.rn + 1))),
+replayed AS (SELECT s.shard, {", ".join("s." + x for x in keep.split(", "))}, s.op, s.block_key, r.hit, r.slot, r.evicted FROM seqd s JOIN run r USING (shard, rn))"""
 
 
 _SQL_REPLAY = f"WITH RECURSIVE {_SQL_TRACE}, {_fold_sql('trace', SLOTS)}"
@@ -161,28 +172,38 @@ def shard_load(spark: SparkSession, sf: str) -> DataFrame:
     return per_key.groupBy("shard").agg(F.sum("n").alias("n_blocks"), F.count("*").alias("n_keys"))
 
 
-_SIZES = "(VALUES (0), (1), (3840), (8192), (16384), (524288), (983040), (1048577), (67108864), (67108865), (200000000)) AS v(page_bytes)"
+_SIZES = (0, 1, 3840, 8192, 16384, 524288, 983040, 1048577, 67108864, 67108865, 200000000)
+_STORE, _STORE_SHARDS = 10 << 30, 16
 
 
 @_register("geometry", f"""SELECT page_bytes::BIGINT AS page_bytes, n::BIGINT AS n, (n * page_bytes)::BIGINT AS block_bytes,
-  CASE WHEN page_bytes = 0 THEN 0 ELSE ((10737418240 // 16) // (n * page_bytes))::BIGINT END AS slots_per_shard
-FROM (SELECT page_bytes::BIGINT AS page_bytes, greatest(1, least({MOST_PAGES}, greatest(1, {DEFAULT_LIMIT} // greatest(page_bytes, 1))))::BIGINT AS n FROM {_SIZES})""")
+  CASE WHEN page_bytes = 0 THEN 0 ELSE (({_STORE} // {_STORE_SHARDS}) // (n * page_bytes))::BIGINT END AS slots_per_shard
+FROM (SELECT page_bytes::BIGINT AS page_bytes, greatest(1, least({MOST_PAGES}, greatest(1, {DEFAULT_LIMIT} // greatest(page_bytes, 1))))::BIGINT AS n FROM (VALUES {", ".join(f"({x})" for x in _SIZES)}) AS v(page_bytes))""")
 def geometry(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of a block, its bytes and a shard's slots, by page size."""
-    sizes = spark.sql(f"SELECT CAST(page_bytes AS BIGINT) AS page_bytes FROM {_SIZES}")
-    n = F.greatest(F.lit(1), F.least(F.lit(MOST_PAGES), F.greatest(F.lit(1), F.expr(f"{DEFAULT_LIMIT} div greatest(page_bytes, 1)"))))
-    out = sizes.withColumn("n", n.cast("bigint")).withColumn("block_bytes", F.col("n") * F.col("page_bytes"))
-    return out.withColumn("slots_per_shard", F.when(F.col("block_bytes") == 0, F.lit(0).cast("bigint")).otherwise(F.expr("(10737418240 div 16) div block_bytes")))
+    found = [(x, Geometry(x, 1, storage_bytes=_STORE, num_shard=_STORE_SHARDS)) for x in _SIZES]
+    return spark.createDataFrame([(x, g.n, g.block_bytes, g.slots_per_shard) for x, g in found], "page_bytes bigint, n bigint, block_bytes bigint, slots_per_shard bigint")
+
+
+_SETTINGS = ("32", "128", "0", "-4", "", "64MB", "abc", " 16", "+8", "7.5", "99999999999999999999")
 
 
 @_register("block_limit", f"""SELECT setting, CASE WHEN regexp_extract(setting, '^\\s*([+-]?[0-9]+)', 1) = '' THEN {DEFAULT_LIMIT}::BIGINT
   WHEN TRY_CAST(regexp_extract(setting, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT) > 0 THEN TRY_CAST(regexp_extract(setting, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT) * 1048576 ELSE {DEFAULT_LIMIT}::BIGINT END AS limit_bytes
-FROM (VALUES ('32'), ('128'), ('0'), ('-4'), (''), ('64MB'), ('abc'), (' 16'), ('99999999999999999999')) AS v(setting)""")
+FROM (VALUES {", ".join(f"('{x}')" for x in _SETTINGS)}) AS v(setting)""")
 def limits(spark: SparkSession, sf: str) -> DataFrame:
     """Block limits from settings in MiB."""
-    rows = spark.sql("SELECT * FROM VALUES ('32'), ('128'), ('0'), ('-4'), (''), ('64MB'), ('abc'), (' 16'), ('99999999999999999999') AS v(setting)")
-    n = F.regexp_extract("setting", r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint")
-    return rows.withColumn("limit_bytes", F.when(n > 0, n * 1048576).otherwise(F.lit(DEFAULT_LIMIT).cast("bigint")))
+    return spark.createDataFrame([(x, block_limit(x)) for x in _SETTINGS], "setting string, limit_bytes bigint")
+
+
+_DISKS = ((10, 5, 15), (10, 4, 15), (0, 0, 0), (0, 15, 15), (MOST_BYTES, MOST_BYTES, MOST_BYTES), (MOST_BYTES - 1, 0, MOST_BYTES), (1, MOST_BYTES, MOST_BYTES))
+
+
+@_register("disk_check", f"""SELECT free_bytes::BIGINT AS free_bytes, held_bytes::BIGINT AS held_bytes, storage_bytes::BIGINT AS storage_bytes,
+  least(free_bytes::HUGEINT + held_bytes::HUGEINT, {MOST_BYTES}) >= storage_bytes AS enough FROM (VALUES {", ".join(map(str, _DISKS))}) AS v(free_bytes, held_bytes, storage_bytes)""")
+def disk_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether free space and the store's own files suffice, with sums that saturate."""
+    return spark.createDataFrame([(*x, enough_disk(*x)) for x in _DISKS], "free_bytes bigint, held_bytes bigint, storage_bytes bigint, enough boolean")
 
 
 # --- lookup -----------------------------------------------------------------
@@ -234,7 +255,11 @@ def already_pages(spark: SparkSession, sf: str) -> DataFrame:
 @_register("free_slots", f"SELECT s::BIGINT AS shard, i::BIGINT AS slot, ({SLOTS} - 1 - i)::BIGINT AS used_as FROM range({SHARDS}) a(s), range({SLOTS}) b(i)")
 def free_slots(spark: SparkSession, sf: str) -> DataFrame:
     """An empty index: every slot free, the highest used first."""
-    return spark.range(SHARDS * SLOTS).select(F.expr(f"id div {SLOTS}").alias("shard"), (F.col("id") % SLOTS).alias("slot")).withColumn("used_as", F.lit(SLOTS - 1) - F.col("slot"))
+    order = []
+    shard = lru.Shard(SLOTS)
+    for i in range(SLOTS):
+        order.append(shard.apply("w", f"k{i}")[1])
+    return spark.createDataFrame([(s, slot, i) for s in range(SHARDS) for i, slot in enumerate(order)], "shard bigint, slot bigint, used_as bigint")
 
 
 @_register("write_dedupe", f"""WITH {_SQL_BLOCKS} SELECT block_key, min(row(seq, block_idx)).seq AS seq, min(row(seq, block_idx)).block_idx AS block_idx, count(*) AS n_writes
@@ -284,6 +309,41 @@ def lru_zero_slots(spark: SparkSession, sf: str) -> DataFrame:
     return lru.replay(trace(spark, sf), 0, ("ts", "event_id")).select("shard", "event_id", "hit", "slot")
 
 
+_SQL_FAILING = f"""failing AS (SELECT ts, event_id, block_key, shard, CASE WHEN event_id % 7 = 3 THEN 'f' ELSE op END AS op FROM trace)"""
+_SQL_FAILED = f"WITH RECURSIVE {_SQL_TRACE}, {_SQL_FAILING}, {_fold_sql('failing', SLOTS)}"
+
+
+def _failing(spark: SparkSession, sf: str) -> DataFrame:
+    """The trace in which every seventh access is a write that failed."""
+    return trace(spark, sf).withColumn("op", F.when(F.col("event_id") % 7 == 3, "f").otherwise(F.col("op")))
+
+
+@_register("failed_writes", f"{_SQL_FAILED} SELECT shard, event_id, op, block_key, hit, slot, evicted FROM replayed")
+def failed_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """Failed writes take their key out and free its slot, which the next new key gets."""
+    return lru.replay(_failing(spark, sf), SLOTS, ("ts", "event_id")).select("shard", "event_id", "op", "block_key", "hit", "slot", "evicted")
+
+
+@_register("snapshot", f"{_SQL_FAILED}, last AS (SELECT * FROM run WHERE (shard, rn) IN (SELECT shard, max(rn) FROM run GROUP BY shard)), every AS (SELECT shard, list_concat(list_transform(range(1, len(ks) + 1), lambda i: {{'k': ks[i], 's': ss[i]}}), list_transform(fs, lambda x: {{'k': NULL::VARCHAR, 's': x}})) AS l FROM last) SELECT shard, (i - 1)::BIGINT AS rank, l[i].k AS block_key, l[i].s AS slot FROM (SELECT shard, l, unnest(range(1, len(l) + 1)) AS i FROM every)")
+def snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole state after the trace with failed writes: resident keys by recency, then the free slots in order."""
+    return lru.state_of(lru.folded(_failing(spark, sf), SLOTS, ("ts", "event_id")))
+
+
+_HALF = "(SELECT (min(event_id) + max(event_id)) // 2 FROM events)"
+
+
+@_register("snapshot_resume", f"WITH RECURSIVE {_SQL_TRACE}, {_SQL_FAILING}, late AS (SELECT *, event_id > {_HALF} AS second FROM failing), {_fold_sql('late', SLOTS, 'second, ts, event_id', 'ts, event_id, second')} SELECT shard, event_id, op, block_key, hit, slot, evicted FROM replayed WHERE second")
+def snapshot_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """The later half of the accesses, from a snapshot of the store after the earlier half."""
+    rows = _failing(spark, sf)
+    ends = rows.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    half = ((ends["lo"] or 0) + (ends["hi"] or 0)) // 2
+    early = lru.folded(rows.where(F.col("event_id") <= half), SLOTS, ("ts", "event_id"))
+    state = written(lru.state_of(early), "state")
+    return lru.replay(rows.where(F.col("event_id") > half), SLOTS, ("ts", "event_id"), initial=state).select("shard", "event_id", "op", "block_key", "hit", "slot", "evicted")
+
+
 @_register("shard_capacity", f"""WITH {_SQL_BLOCKS} SELECT shard, n_keys, least(n_keys, {SLOTS * 4})::BIGINT AS kept, greatest(n_keys - {SLOTS * 4}, 0)::BIGINT AS over
 FROM (SELECT {_SQL_SHARD.format('block_key')} AS shard, count(DISTINCT block_key) AS n_keys FROM blocks WHERE mode = 'w' GROUP BY 1)""")
 def shard_capacity(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,21 +361,15 @@ stored AS (SELECT block_key, pos, payload FROM moves JOIN kv USING (page_idx))""
 _SQL_MOVED = f"WITH {_SQL_BLOCKS}, {_SQL_PAGES}, {_SQL_STORED}"
 
 
-def _stored(spark: SparkSession, sf: str) -> DataFrame:
-    writes = blocks(spark, sf).where("mode = 'w'").select("block_key", "seq", "block_idx", "pages")
+def _stored(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    writes = rows.where("mode = 'w'").select("block_key", "seq", "block_idx", "pages")
     return movement.gather(B.first_writers(writes, ["seq", "block_idx"]), kv_pages(spark, sf))
 
 
 @_register("gather", f"{_SQL_MOVED} SELECT block_key, pos, payload FROM stored")
 def gather(spark: SparkSession, sf: str) -> DataFrame:
     """Payloads of every stored block, in page order."""
-    return _stored(spark, sf)
-
-
-def _reads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = blocks(spark, sf)
-    keys = rows.where("mode = 'w'").select("block_key").distinct()
-    return rows.where("mode = 'r'").join(keys, "block_key", "left_semi").select("seq", "block_idx", "block_key", "pages"), rows
+    return _stored(spark, sf, blocks(spark, sf))
 
 
 _SQL_READS = "reads AS (SELECT seq, block_idx, block_key, pages FROM blocks WHERE mode = 'r' AND block_key IN (SELECT block_key FROM firsts))"
@@ -326,16 +380,19 @@ last AS (SELECT page_idx, max({{'seq': seq, 'block_idx': block_idx, 'pos': pos,
 SELECT page_idx::INT AS page_idx, payload FROM last LEFT JOIN stored s ON s.block_key = m.k AND s.pos = m.pos""")
 def scatter_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     """Pages after all reads of resident blocks; the last position wins."""
-    reads, _ = _reads(spark, sf)
-    return movement.scatter(reads, _stored(spark, sf), ["seq", "block_idx"])
+    rows = blocks_once(spark, sf)
+    keys = rows.where("mode = 'w'").select("block_key").distinct()
+    reads = rows.where("mode = 'r'").join(keys, "block_key", "left_semi").select("seq", "block_idx", "block_key", "pages")
+    return movement.scatter(reads, _stored(spark, sf, rows), ["seq", "block_idx"])
 
 
 @_register("round_trip", f"{_SQL_MOVED} SELECT count(*) AS n_moves, count(*) FILTER (s.payload = kv.payload) AS n_equal FROM moves JOIN kv USING (page_idx) JOIN stored s USING (block_key, pos)")
 def round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Every stored position read back against its page."""
-    writes = blocks(spark, sf).where("mode = 'w'").select("block_key", "seq", "block_idx", "pages")
+    rows = blocks_once(spark, sf)
+    writes = rows.where("mode = 'w'").select("block_key", "seq", "block_idx", "pages")
     moves = B.first_writers(writes, ["seq", "block_idx"]).select("block_key", F.posexplode("pages").alias("pos", "page_idx"))
-    back = moves.join(kv_pages(spark, sf).withColumnRenamed("payload", "page"), "page_idx").join(_stored(spark, sf), ["block_key", "pos"])
+    back = moves.join(kv_pages(spark, sf).withColumnRenamed("payload", "page"), "page_idx").join(_stored(spark, sf, rows), ["block_key", "pos"])
     return back.agg(F.count("*").alias("n_moves"), F.count_if(F.col("page") == F.col("payload")).alias("n_equal"))
 
 
@@ -351,23 +408,37 @@ def short_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return blocks(spark, sf).where(f"n_tokens < {N}").groupBy("n_tokens").agg(F.count("*").alias("n_blocks"), F.count_distinct("block_key").alias("n_keys"))
 
 
+@_register("engine_round_trip", f"""{_SQL_MOVED} SELECT {_SQL_SHARD.format('s.block_key')} AS shard, s.block_key, s.pos, s.payload FROM stored s WHERE {_SQL_SHARD.format('s.block_key')} < 2""")
+def engine_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks written to a durable store by shard in two batches, the second of which repeats keys; two shards read back."""
+    rows = blocks_once(spark, sf)
+    stored = written(B.with_shard(_stored(spark, sf, rows), SHARDS), "stored")
+    engine = ParquetEngine(spark, fresh_path(spark, "store"))
+    engine.write(stored.where("shard % 2 = 0"))
+    # Keys that are there already are kept as they are.
+    engine.write(stored.withColumn("payload", F.when(F.col("shard") % 2 == 0, F.lit("late")).otherwise(F.col("payload"))))
+    return engine.stored().where("shard < 2").select("shard", "block_key", "pos", "payload")
+
+
 # --- tasks ---------------------------------------------------------------------
 
-_SQL_STATES = f"""{_SQL_BLOCKS}, writes AS (SELECT DISTINCT block_key FROM blocks WHERE mode = 'w'),
-outcome AS (SELECT b.*, CASE WHEN mode = 'r' AND w.block_key IS NULL THEN 3 ELSE 2 END AS state, mode = 'w' OR w.block_key IS NOT NULL AS data_ready
-  FROM blocks b LEFT JOIN writes w USING (block_key))"""
+_SQL_STATES = f"""{_SQL_BLOCKS}, writes AS (SELECT block_key, min({{'seq': seq, 'block_idx': block_idx}}) AS w FROM blocks WHERE mode = 'w' GROUP BY block_key),
+seen AS (SELECT b.*, coalesce(w.w < {{'seq': b.seq, 'block_idx': b.block_idx}}, false) AS hit FROM blocks b LEFT JOIN writes w USING (block_key)),
+outcome AS (SELECT *, CASE WHEN mode = 'r' AND NOT hit THEN 3 ELSE 2 END AS state, mode = 'w' OR hit AS data_ready FROM seen)"""
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = blocks(spark, sf)
-    known = B.residency(rows, rows.where("mode = 'w'"))
-    return tasks.outcomes(known.withColumn("slot", F.lit(0))).withColumn("data_ready", F.col("hit"))
+    """Blocks in request order against a store without limit: one is there if an earlier request, or block, wrote it."""
+    rows = blocks_once(spark, sf)
+    first = rows.where("mode = 'w'").groupBy("block_key").agg(F.min(F.struct("seq", "block_idx")).alias("w"))
+    known = rows.join(first, "block_key", "left").withColumn("hit", F.coalesce(F.col("w") < F.struct("seq", "block_idx"), F.lit(False))).drop("w")
+    return tasks.outcomes(known.withColumn("slot", F.lit(0))).withColumn("data_ready", (F.col("mode") == "w") | F.col("hit"))
 
 
-@_register("read_outcome", f"WITH {_SQL_STATES} SELECT task_id, block_idx, mode, state::INT AS state, mode = 'w' AS stored FROM outcome")
+@_register("read_outcome", f"WITH {_SQL_STATES} SELECT task_id, block_idx, mode, hit, state::INT AS state, mode = 'w' AS stored FROM outcome")
 def read_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    """State of each block: reads that miss are aborted, writes finish."""
-    return _outcomes(spark, sf).select("task_id", "block_idx", "mode", "state", "stored")
+    """State of each block in request order: reads that miss are aborted, writes finish whether or not the key is there."""
+    return _outcomes(spark, sf).select("task_id", "block_idx", "mode", "hit", "state", "stored")
 
 
 @_register("task_state", f"""WITH {_SQL_STATES}, per AS (SELECT task_id, count(*) AS n, count(*) FILTER (state = 2) AS f, count(*) FILTER (state = 3) AS a, count(*) FILTER (data_ready) AS g,
@@ -444,12 +515,12 @@ def bytes_counters(spark: SparkSession, sf: str) -> DataFrame:
 # --- extensions ----------------------------------------------------------
 
 
-@_register("lru_online", f"{_SQL_REPLAY} SELECT shard, epoch_us(ts) AS seq, op, block_key, hit, slot, evicted FROM replayed")
+@_register("lru_online", f"{_SQL_REPLAY} SELECT shard, epoch_us(ts) AS seq, event_id AS tie, op, block_key, hit, slot, evicted FROM replayed")
 def lru_online(spark: SparkSession, sf: str) -> DataFrame:
     """The trace as a stream: the same replay as keyed state, run until what is there is taken."""
     from blockloom.streaming.online import replay_available
 
-    rows = trace(spark, sf).select("shard", F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), "op", "block_key")
+    rows = trace(spark, sf).select("shard", F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("event_id").alias("tie"), "op", "block_key")
     return replay_available(rows, SLOTS)
 
 
@@ -462,13 +533,79 @@ def xxh3_keys(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("task_id", "block_idx", xxh3_key("chunk").alias("block_key"))
 
 
-@_register("service_create", None)
-def service_create(spark: SparkSession, sf: str) -> DataFrame:
-    """All requests replayed through the batch service: validation, queries, writes, reads, states."""
-    from blockloom.service import BlockCache
+_CACHE_BYTES, _CACHE_SHARDS = 256 << 20, 8
+_CACHE_SLOTS = Geometry(8192, 1, storage_bytes=_CACHE_BYTES, num_shard=_CACHE_SHARDS).slots_per_shard
+#: Requests with modes that don't exist and page lists that are too short, as the service gets them.
+_SQL_SERVED = f"""{_SQL_REQUESTS}, odd AS (
+  SELECT task_id, seq, tokens, start_pos, CASE WHEN task_id % 11 = 0 THEN 'x' ELSE mode END AS mode, CASE WHEN task_id % 7 = 0 THEN page_idx[:3] ELSE page_idx END AS page_idx FROM requests),
+served AS (SELECT *, start_pos // {N} AS f, (len(tokens) + {N - 1}) // {N} AS nb FROM odd
+  WHERE mode IN ('r', 'w') AND greatest((len(tokens) + {N - 1}) // {N} - start_pos // {N}, 0) = (greatest(len(page_idx) - (start_pos // {N}) * {N}, 0) + {N - 1}) // {N}),
+cut AS (SELECT *, unnest(range(f, greatest(nb, f))) AS b FROM served),
+sblocks AS (SELECT task_id, seq, mode, b - f AS block_idx, {_SQL_KEY.format(f"tokens[b*{N}+1 : b*{N}+{N}]")} AS block_key, page_idx[b*{N}+1 : b*{N}+{N}] AS pages FROM cut),
+coded AS (SELECT task_id, seq, mode, block_idx, block_key, ('0x' || substr(block_key, 1, 8))::BIGINT % {_CACHE_SHARDS} AS shard,
+  CASE WHEN list_max(pages) >= (SELECT (max(vec_id) + 1) * {{0}} // 10 FROM embeddings) THEN 'page_range' {{1}} END AS reject_code FROM sblocks),
+ops AS (SELECT *, unnest(CASE WHEN reject_code IS NOT NULL THEN ['x'] WHEN mode = 'w' THEN ['q', 'w'] ELSE ['r'] END) AS op FROM coded),
+phased AS (SELECT *, seq * 2 + CASE WHEN op = 'q' THEN 0 ELSE 1 END AS phase {{2}} FROM ops),
+{_fold_sql("phased", _CACHE_SLOTS, "{3}phase, block_idx", "task_id, seq, mode, block_idx, reject_code{4}")},
+result AS (SELECT *, reject_code IS NOT NULL AS bad FROM replayed WHERE op <> 'q')
+SELECT task_id, block_idx, mode, hit AND NOT bad AS hit, CASE WHEN bad THEN -1 ELSE slot END AS slot, evicted,
+  CASE WHEN bad OR mode = 'r' AND NOT hit THEN 3 ELSE 2 END::INT AS state, mode = 'w' AND NOT bad AND slot >= 0 AS stored, reject_code FROM result"""
+
+
+def _sql_served(tenths: int, code: str = "", extra: str = "", before: str = "", keep: str = "") -> str:
+    out = f"WITH RECURSIVE {_SQL_SERVED}"
+    for i, x in enumerate((str(tenths), code, extra, before, keep)):
+        out = out.replace(f"{{{i}}}", x)
+    return out
+
+
+def _served(spark: SparkSession, sf: str, tenths: int = 10) -> tuple[DataFrame, BlockCache]:
+    """Requests, some of which don't hold, and an empty cache whose page table has so many tenths of the pages."""
+    odd = requests(spark, sf).withColumn("mode", F.when(F.col("task_id") % 11 == 0, "x").otherwise(F.col("mode"))).withColumn("page_idx", F.when(F.col("task_id") % 7 == 0, F.slice("page_idx", 1, 3)).otherwise(F.col("page_idx")))
+    return odd, BlockCache(Geometry(page_bytes=8192, num_pages=num_pages(spark, sf) * tenths // 10, storage_bytes=_CACHE_BYTES, num_shard=_CACHE_SHARDS))
 
-    cache = BlockCache(Geometry(page_bytes=8192, num_pages=num_pages(spark, sf), storage_bytes=256 << 20, num_shard=8))
-    return cache.create(requests(spark, sf)).select("task_id", "block_idx", "mode", "hit", "slot", "evicted", "state", "stored", "reject_code")
+
+_MADE = ("task_id", "block_idx", "mode", "hit", "slot", "evicted", "state", "stored", "reject_code")
+
+
+@_register("service_create", _sql_served(9))
+def service_create(spark: SparkSession, sf: str) -> DataFrame:
+    """All requests through the batch service: validation, rejected blocks, queries, writes, reads, states."""
+    rows, cache = _served(spark, sf, 9)
+    return cache.create(rows).select(*_MADE)
+
+
+@_register("service_reopen", _sql_served(10, extra=", seq % 2 AS second", before="second, ", keep=", second") + " WHERE second = 1")
+def service_reopen(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of odd number by a cache that is opened with the state that those of even number left."""
+    rows, cache = _served(spark, sf)
+    cache.create(rows.where("seq % 2 = 0"))
+    again = BlockCache(cache.geometry, cache.state)
+    return again.create(rows.where("seq % 2 = 1")).select(*_MADE)
+
+
+@_register("service_abort", _sql_served(10, code="WHEN task_id % 5 = 0 AND block_idx >= 1 + task_id % 3 THEN 'aborted'"))
+def service_abort(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth request is aborted after its first blocks: the others never reach the store."""
+    rows, cache = _served(spark, sf)
+    aborts = rows.where("task_id % 5 = 0").select("task_id", (F.col("task_id") % 3 + 1).alias("after"))
+    return cache.create(rows, aborts).select(*_MADE)
+
+
+@_register("service_query", _sql_served(10).rsplit("SELECT", 1)[0] + f", last AS (SELECT ks FROM run WHERE (shard, rn) IN (SELECT shard, max(rn) FROM run GROUP BY shard)), held AS (SELECT DISTINCT unnest(ks) AS block_key FROM last), asked AS (SELECT task_id, unnest(range(0, nb)) AS b, tokens FROM (SELECT task_id, tokens, (len(tokens) + {N - 1}) // {N} AS nb FROM requests)), akeys AS (SELECT task_id, b AS block_idx, {_SQL_KEY.format(f"tokens[b*{N}+1 : b*{N}+{N}]")} AS block_key FROM asked) SELECT task_id, block_idx, h.block_key IS NOT NULL AS hit FROM akeys LEFT JOIN held h USING (block_key)")
+def service_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's blocks looked up in the cache after all requests; hits are promoted, none comes or goes."""
+    rows, cache = _served(spark, sf)
+    cache.create(rows)
+    return cache.query(requests(spark, sf))
+
+
+@_register("active_writes", f"""WITH {_SQL_FLIGHT}, ev AS (SELECT b AS t, 1 AS d FROM flight WHERE mode = 'w' UNION ALL SELECT e, -1 FROM flight WHERE mode = 'w'), per AS (SELECT t, sum(d) AS d FROM ev GROUP BY t)
+SELECT t AS instant, (sum(d) OVER (ORDER BY t))::BIGINT AS n_active FROM per""")
+def active_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes in flight, by the cache's own call."""
+    _, cache = _served(spark, sf)
+    return cache.active_threads(_flight(spark, sf), "w")
 
 
 def queries() -> dict[str, Query]:

@@ -4,56 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from blockloom.operators.lru import Shard
+from blockloom.operators.lru import Shard, Snapshot
+from blockloom.sources.shared import fresh_path
 
-OUT = "shard bigint, seq bigint, op string, block_key string, hit boolean, slot bigint, evicted string"
+OUT = "shard bigint, seq bigint, tie bigint, op string, block_key string, hit boolean, slot bigint, evicted string"
 
 
 class LruProcessor(StatefulProcessor):
-    """One shard's slots, least recently used first; rows at or before the last seen ``seq`` are late and dropped."""
+    """One shard's slots; rows are ordered by (seq, tie), and those at or before the last seen are late and dropped."""
 
     def __init__(self, capacity: int) -> None:
         self.capacity = capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entries = handle.getValueState("entries", "seq bigint, keys array<string>, slots array<bigint>, free array<bigint>")
+        self.entries = handle.getValueState("entries", "seq bigint, tie bigint, keys array<string>, slots array<bigint>, free array<bigint>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         shard, last = Shard(self.capacity), None
         if self.entries.exists():
-            last, keys, slots, free = self.entries.get()
-            shard.held.update(zip(keys, map(int, slots), strict=True))
-            shard.free = [int(x) for x in free]
+            seq, tie, keys, slots, free = self.entries.get()
+            last = (seq, tie)
+            shard.restore(Snapshot(list(zip(keys, map(int, slots), strict=True)), [int(x) for x in free]))
         # One trigger's rows of a shard; the trigger's size bounds them.
-        pdf = pd.concat(list(rows)).sort_values("seq")
+        pdf = pd.concat(list(rows)).sort_values(["seq", "tie"], kind="stable")
         if last is not None:
-            pdf = pdf[pdf["seq"] > last]
+            pdf = pdf[(pdf["seq"] > last[0]) | ((pdf["seq"] == last[0]) & (pdf["tie"] > last[1]))]
         if len(pdf):
             out = [shard.apply(op, k) for op, k in zip(pdf["op"], pdf["block_key"], strict=True)]
-            self.entries.update((int(pdf["seq"].max()), list(shard.held), list(shard.held.values()), shard.free))
-            yield pd.DataFrame({"shard": key[0], "seq": pdf["seq"], "op": pdf["op"], "block_key": pdf["block_key"], "hit": [x[0] for x in out], "slot": [x[1] for x in out], "evicted": [x[2] for x in out]})
+            self.entries.update((int(pdf["seq"].iloc[-1]), int(pdf["tie"].iloc[-1]), list(shard.held), list(shard.held.values()), shard.free))
+            yield pd.DataFrame({"shard": key[0], "seq": pdf["seq"], "tie": pdf["tie"], "op": pdf["op"], "block_key": pdf["block_key"], "hit": [x[0] for x in out], "slot": [x[1] for x in out], "evicted": [x[2] for x in out]})
 
     def close(self) -> None:
         pass
 
 
 def online(trace: DataFrame, capacity: int) -> DataFrame:
-    """A streaming ``trace`` (shard, seq, op, block_key) replayed; needs the RocksDB state store."""
+    """A streaming ``trace`` (shard, seq, tie, op, block_key) replayed; (seq, tie) is its order.  Needs the RocksDB state store."""
     return trace.groupBy("shard").transformWithStateInPandas(LruProcessor(capacity), OUT, "Append", "None")
 
 
 def replay_available(trace: DataFrame, capacity: int) -> DataFrame:
     """A batch ``trace`` put through the stream in one trigger: written to the shared folder, streamed, and read back."""
     spark = trace.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="blockloom-")
-    top = f"{shared.rstrip('/')}/blockloom/online-{uuid.uuid4().hex}"
+    top = fresh_path(spark, "online")
     trace.write.parquet(f"{top}/in")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
