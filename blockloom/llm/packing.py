@@ -41,7 +41,7 @@ END_ID = 1
 #: Places of the hashed vector, dimensions of the curve and bits of each.
 PLACES, DIMS, BITS = 256, 3, 16
 #: Bytes of token ids in a range, ids in a row, and bits of the key that number the cells of the histogram.
-RANGE_BYTES = 6 << 20
+RANGE_BYTES = 2 << 20
 SEGMENT = 1 << 15
 CELL_BITS = 15
 #: Row of a sequence id: its range in the high bits.
