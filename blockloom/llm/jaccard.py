@@ -50,7 +50,7 @@ HASHES, BAND = 128, 4
 TOLERANCE = 1e-9
 STEPS = (16, 32, 64, 128)
 #: Texts that are compared with one another at once, and those of a block of a larger group.
-MOST, BLOCK = 512, 256
+MOST, BLOCK = 256, 128
 
 _rng = np.random.Generator(np.random.PCG64(5))
 _MULTIPLY = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -5,7 +5,8 @@ over hashed features gives a document's score s; ordered thresholds t_k turn it
 into P(grade >= k) = logistic(s - t_k), hence an expected grade and the tail
 probability of the top grade, on which documents are selected.
 
-Features: presence of each distinct word (letters and digits, ASCII lower case), and as shares of all words the last
+Features: presence of each distinct word (letters and digits, ASCII lower case)
+and of the stems of longer ones, and as shares of all words the last
 two bytes of words, the kind of their first and last byte, and words equal to
 the one before.
 
@@ -42,7 +43,9 @@ WORD_BITS, TAIL_BITS = 18, 12
 STEPS, RATE, SHRINK = 250, 0.1, 1e-4
 #: Values of a word's presence and of a share of one.
 PRESENT, SHARE = 2.0, 8.0
-#: Words get a weight if so many fitted documents have them and their frequency differs by so many deviations between neighbouring grades.
+#: First bytes of longer words that stand for their stems.
+STEMS = (4, 5)
+#: Words and stems get a weight if so many fitted documents have them and their frequency differs by so many deviations between neighbouring grades.
 LEAST_DOCS, LEAST_Z = 6, 5.0
 
 _TAILS = 1 << WORD_BITS
@@ -73,14 +76,19 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(n)), n)
     low = _LOWER[buf]
     s, e, f = spans(low, offsets, _LETTER)
-    names = np.repeat(np.arange(len(n)), np.diff(f)) * SIZE + (word_hashes(low, s, e)[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), np.diff(f)) * SIZE
+    names = [of + (word_hashes(low, s, e)[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+    for k in STEMS:
+        long = e - s > k
+        stem = mix(word_hashes(low, s[long], s[long] + k)[0] + np.uint64(k))
+        names.append(of[long] + (stem >> np.uint64(64 - WORD_BITS)).astype(np.int64))
     last = buf[ends - 1].astype(np.int64)
     before = buf[np.maximum(ends - 2, starts)].astype(np.int64)
     tails = _TAILS + (mix((before * 256 + last).astype(np.uint64)) >> np.uint64(64 - TAIL_BITS)).astype(np.int64)
     kinds = _KINDS + _KIND[buf[starts]] * 8 + _KIND[last]
     again = np.zeros(len(hashes), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
-    seen = np.unique(names)
+    seen = np.unique(np.concatenate(names))
     shares, count = np.unique(np.concatenate([row * SIZE + tails, row * SIZE + kinds, row[again] * SIZE + _AGAIN]), return_counts=True)
     code = np.concatenate([seen, shares])
     value = np.concatenate([np.full(len(seen), PRESENT), SHARE * count / n[shares // SIZE]])

@@ -312,6 +312,9 @@ def plain_features(text):
 
     for w in set(re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())):
         out[hashed(w) >> (64 - quality.WORD_BITS)] = quality.PRESENT
+        for k in (k for k in quality.STEMS if len(w) > k):
+            stem = quality.mix(np.array([hashed(w[:k])], np.uint64) + np.uint64(k))
+            out[int(stem[0]) >> (64 - quality.WORD_BITS)] = quality.PRESENT
     for i, w in enumerate(words):
         two = (w[-2] if len(w) > 1 else w[-1]) * 256 + w[-1]
         shares[quality._TAILS + (int(quality.mix(np.array([two], np.uint64))[0]) >> (64 - quality.TAIL_BITS))] += 1
@@ -461,7 +464,7 @@ def test_hilbert_curve_is_one():
 # --- 6 Jaccard ------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("most,block", [(512, 256), (6, 3)])
+@pytest.mark.parametrize("most,block", [(256, 128), (6, 3)])
 def test_jaccard(monkeypatch, frame, docs, most, block):
     monkeypatch.setattr(jaccard, "MOST", most)
     monkeypatch.setattr(jaccard, "BLOCK", block)
