@@ -46,6 +46,11 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return docs.withColumn("page_idx", pages).withColumn("mode", F.when(F.col("task_id") % 3 == 2, "r").otherwise("w")).withColumn("start_pos", ((F.col("task_id") % 4) * 50).cast("int")).withColumn("seq", F.col("task_id"))
 
 
+def heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Id and mode of every request, without its tokens."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("task_id"), F.when(F.col("doc_id") % 3 == 2, "r").otherwise("w").alias("mode"))
+
+
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
     return B.block_rows(requests(spark, sf).drop("start_pos"), N, "task_id", "seq", "lang", "source", "mode")
 
@@ -448,14 +453,14 @@ SELECT r.task_id, r.mode, coalesce(n, 0) AS n_blocks, coalesce(f, 0) AS finished
 FROM requests r LEFT JOIN per USING (task_id)""")
 def task_state(spark: SparkSession, sf: str) -> DataFrame:
     """Ready, data_safe and block states of every request; one without blocks is ready."""
-    return tasks.rollup(requests(spark, sf).select("task_id", "mode"), _outcomes(spark, sf))
+    return tasks.rollup(heads(spark, sf), _outcomes(spark, sf))
 
 
 @_register("abort_effect", f"""WITH {_SQL_STATES} SELECT task_id, block_idx, CASE WHEN task_id % 5 = 0 AND task_id + 2 < task_id + block_idx THEN 3 ELSE state END::INT AS state FROM outcome""")
 def abort_effect(spark: SparkSession, sf: str) -> DataFrame:
     """Aborts of every fifth request after its third block ended: later blocks are aborted, earlier ones stay."""
     done = _outcomes(spark, sf).withColumn("end_seq", F.col("task_id") + F.col("block_idx"))
-    aborts = requests(spark, sf).where("task_id % 5 = 0").select("task_id", (F.col("task_id") + 2).alias("abort_seq"))
+    aborts = heads(spark, sf).where("task_id % 5 = 0").select("task_id", (F.col("task_id") + 2).alias("abort_seq"))
     return tasks.aborted(done, aborts).select("task_id", "block_idx", F.col("state").cast("int").alias("state"))
 
 
@@ -588,7 +593,7 @@ def service_reopen(spark: SparkSession, sf: str) -> DataFrame:
 def service_abort(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth request is aborted after its first blocks: the others never reach the store."""
     rows, cache = _served(spark, sf)
-    aborts = rows.where("task_id % 5 = 0").select("task_id", (F.col("task_id") % 3 + 1).alias("after"))
+    aborts = heads(spark, sf).where("task_id % 5 = 0").select("task_id", (F.col("task_id") % 3 + 1).alias("after"))
     return cache.create(rows, aborts).select(*_MADE)
 
 
