@@ -156,6 +156,21 @@ def test_passes_do_not_depend_on_the_order_of_rows(monkeypatch, docs, fan, range
     assert got == want and any(g for _, g, _ in want.values())
 
 
+def test_messages_grow_with_the_text(docs):
+    """A chunk's messages don't depend on how large the corpus is, and are at most one for each bin."""
+    texts = pa.chunked_array([pa.array([t for i, t in docs.items() if i != 7], pa.string())])
+    count = {ranges: len(list(repeats.probe(texts, 3, repeats.Plan(50, 5, ranges), 35))) for ranges in (1, 40, 10**4, 10**9)}
+    assert len(set(count.values())) == 1 and count[1] <= 32
+    assert [repeats.Plan(50, 5, r).levels for r in (1, 32, 33, 1024, 1025)] == [1, 1, 2, 2, 3]
+    # A regrouping task sends its bin's hashes on, as many messages at most as the next level has bins in it.
+    plan = repeats.Plan(50, 5, 900)
+    sent = sorted(repeats.probe(texts, 3, plan, 35))
+    again = [m for b in repeats.regrouped(repeats._batches(iter(sent), repeats.SENT), plan, 2) for m in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(again) <= 32 * len(sent)
+    for k in (2, 3, 4):
+        assert sorted(np.concatenate([repeats.undeltas(m[k]) for m in again]).tolist()) == sorted(np.concatenate([repeats.undeltas(m[k]) for m in sent]).tolist())
+
+
 def thue_morse(bits):
     return "".join("ab"[bin(i).count("1") & 1] for i in range(1 << bits))
 
