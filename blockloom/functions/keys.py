@@ -11,7 +11,7 @@ def word_tokens(text: Column) -> Column:
 
     A null text has no tokens.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")
     return F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"))
 
 
