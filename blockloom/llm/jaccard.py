@@ -381,6 +381,26 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: The same rows in DuckDB, where ids are distinct: shingles are compared as words, links by a join on shingles, classes by recursion.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+worded AS (SELECT doc_id, array_to_string(w, ' ') AS s, w FROM d WHERE len(w) > 0),
+reps AS (SELECT s, min(doc_id) AS rep, count(*) AS copies FROM worded GROUP BY s),
+t AS (SELECT doc_id AS rep, len(w) AS n, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM worded WHERE doc_id IN (SELECT rep FROM reps)),
+grams AS (SELECT DISTINCT rep, g FROM (SELECT rep, n, p, count(*) OVER f AS c, string_agg(word, ' ') OVER f AS g FROM t
+  WINDOW f AS (PARTITION BY rep ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE c = 5 OR n < 5 AND p = 1),
+sizes AS (SELECT rep, count(*) AS n FROM grams GROUP BY rep),
+shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+linked AS (SELECT a, b FROM shared JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE common / (x.n + y.n - common) >= 0.8),
+links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+classes AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+near AS (SELECT l.a AS rep, sum(x.copies) AS n FROM links l JOIN reps x ON x.rep = l.b GROUP BY l.a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(r.copies - 1 + coalesce(n.n, 0), 0)::BIGINT AS n_links, coalesce(r.copies - 1, 0)::BIGINT AS n_copies
+FROM d LEFT JOIN worded w ON w.doc_id = d.doc_id LEFT JOIN reps r ON r.s = w.s LEFT JOIN classes c ON c.rep = r.rep LEFT JOIN near n ON n.rep = r.rep
+"""
+
+
 def brute_force(texts: dict[int, str | None], threshold: float = THRESHOLD) -> dict[int, tuple[int, int, int]]:
     """The definition, for tests: doc_id to (class_id, n_links, n_copies)."""
     import re

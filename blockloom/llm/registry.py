@@ -10,12 +10,14 @@ from blockloom.llm.chat import ORACLE_SQL as CHAT_SQL
 from blockloom.llm.chat import op9_chat
 from blockloom.llm.fingerprints import op1_fingerprints
 from blockloom.llm.html import op8_html
+from blockloom.llm.jaccard import ORACLE_SQL as JACCARD_SQL
 from blockloom.llm.jaccard import op6_jaccard
 from blockloom.llm.licenses import op7_licenses
 from blockloom.llm.media import op10_media
 from blockloom.llm.packing import op5_packing
 from blockloom.llm.pieces import op4_pieces
 from blockloom.llm.quality import op3_quality
+from blockloom.llm.repeats import ORACLE_SQL as REPEATS_SQL
 from blockloom.llm.repeats import op2_repeats
 
 
@@ -35,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": CHAT_SQL}
+    return {"op2_repeats": REPEATS_SQL, "op6_jaccard": JACCARD_SQL, "op9_chat": CHAT_SQL}

@@ -423,6 +423,21 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: The same rows in DuckDB, by comparing the windows' words themselves.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM d),
+win AS (SELECT r, p, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS s FROM t
+  WINDOW f AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY s) AS c FROM win WHERE n = 35) WHERE c > 1),
+marked AS (SELECT t.r, t.p, t.word, count(a.p) OVER (PARTITION BY t.r ORDER BY t.p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM t LEFT JOIN again a ON a.r = t.r AND a.p = t.p),
+kept AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS k FROM marked GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.k, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.r = d.r
+"""
+
+
 def brute_force(texts: dict[int, str | None], width: int = WINDOW) -> dict[int, tuple[int, int, str]]:
     """The definition, for tests: doc_id to (n_words, n_removed, kept text)."""
     import re
