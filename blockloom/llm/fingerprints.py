@@ -75,69 +75,70 @@ def resolved(forms: DataFrame, canon: str, digest: str, found: DataFrame | None)
     return forms.join(found.withColumnRenamed("digest", "__of"), F.col(digest) == F.col("__of"), "left").withColumn(digest, named).drop("__of", "variants")
 
 
-def with_next(df: DataFrame, lo: int, hi: int) -> DataFrame:
-    """``df`` (k long, v, no nulls) plus ``v_next``, the v of the next row in descending k, after the last the first's, and ``b``, k's bucket.
+def with_next(df: DataFrame, lo: int, hi: int, more: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """``df`` (k long, v, no nulls) with v as ``more`` makes it, ``v_next``, that of the next row in descending k, after the last the first's, and ``b``, k's bucket.
 
     Buckets of consecutive k are ordered on their own; each bucket's last row
     takes the head of the next bucket that has rows, which the same rule finds
     among the heads.  Equal k are ordered by v.
     """
     rows = df.withColumn("b", F.shiftright("k", BUCKET_BITS))
+    made = rows.withColumn("v", more(F.col("v")))
     if hi - lo < 1 << BUCKET_BITS:
         whole = Window.partitionBy(F.lit(0)).orderBy(F.col("k").desc(), "v")
-        return rows.withColumn("v_next", F.coalesce(F.lead("v").over(whole), F.first("v").over(whole)))
+        return made.withColumn("v_next", F.coalesce(F.lead("v").over(whole), F.first("v").over(whole)))
     heads = rows.groupBy("b").agg(F.min(F.struct(F.bitwise_not("k").alias("r"), "v")).alias("h")).select(F.col("b").alias("k"), F.col("h.v").alias("v"))
     if (hi >> BUCKET_BITS) - (lo >> BUCKET_BITS) >= 1 << BUCKET_BITS:
         heads = written(heads, "heads")  # else each level would double the plan
-    after = with_next(heads, lo >> BUCKET_BITS, hi >> BUCKET_BITS).select(F.col("k").alias("b"), F.col("v_next").alias("head"))
+    after = with_next(heads, lo >> BUCKET_BITS, hi >> BUCKET_BITS).select(F.col("k").alias("b"), more(F.col("v_next")).alias("head"))
     own = Window.partitionBy("b").orderBy(F.col("k").desc(), "v")
-    return rows.withColumn("lead", F.lead("v").over(own)).join(after, "b", "left").withColumn("v_next", F.coalesce("lead", "head")).drop("lead", "head")
+    return made.withColumn("lead", F.lead("v").over(own)).join(after, "b", "left").withColumn("v_next", F.coalesce("lead", "head")).drop("lead", "head")
 
 
-def edits(docs: DataFrame, digest: Callable[[Column], Column] = wide_digest) -> DataFrame:
-    """``docs`` (doc_id, text) with their edited texts and the digests of both.
-
-    Own texts are made canonical once, before they are dealt by bucket; the next
-    document's digest comes with its text.  Where digests are equal the
-    texts themselves are compared.
-    """
+def edited(docs: DataFrame, more: Callable[[Column], Column]) -> DataFrame:
+    """``docs`` (doc_id, text) with ``k`` (place in the order), ``b`` (its bucket), ``v`` and ``v_next`` (own and next text as ``more`` makes them, with a field text) and ``edited``."""
     text = F.coalesce("text", F.lit(""))
     # Rows without an id come last; they are spread over keys of their own by content and partition, as they may be many.
     none = F.lit(-(2**63)) + F.pmod(F.xxhash64(text, F.spark_partition_id()), F.lit(1 << NULL_BITS))
-    v = F.struct(text.alias("text"), digest(canonical(text)).alias("digest"))
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), none).alias("k"), v.alias("v"))
+    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), none).alias("k"), text.alias("v"))
     ends = docs.agg(F.min("doc_id").cast("long").alias("lo"), F.max("doc_id").cast("long").alias("hi"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
     lo = -(2**63) if ends["none"] else ends["lo"] or 0
-    rows = with_next(keyed, lo, -(2**63) + (1 << NULL_BITS) if ends["hi"] is None and ends["none"] else ends["hi"] or 0)
-    own, after = F.col("v.text"), F.col("v_next.text")
-    n = F.char_length(own)
+    rows = with_next(keyed, lo, -(2**63) + (1 << NULL_BITS) if ends["hi"] is None and ends["none"] else ends["hi"] or 0, more)
+    n = F.char_length("v.text")
     cut = F.floor(n / 3).cast("int")
-    rows = rows.select("doc_id", "k", "b", n.cast("long").alias("n_chars"), own.alias("own"), F.col("v.digest").alias("fingerprint"), after.alias("after"), F.col("v_next.digest").alias("next_digest"), F.concat(own.substr(F.lit(1), n - cut), after.substr(F.lit(1), cut)).alias("edited"))
-    rows = rows.withColumn("changed", canonical(F.col("edited"))).withColumn("edited_fingerprint", digest(F.col("changed")))
+    return rows.withColumn("edited", F.concat(F.col("v.text").substr(F.lit(1), n - cut), F.col("v_next.text").substr(F.lit(1), cut)))
+
+
+def edited_fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = wide_digest) -> DataFrame:
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of ``docs`` (doc_id, text).
+
+    Own texts are made canonical once, before they are dealt by bucket; the next
+    document's digest comes with its text.  Where digests are equal the
+    texts themselves are compared.
+    """
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    every = edited(docs, lambda c: F.struct(c.alias("text"), digest(canonical(c)).alias("digest")))
+    every = every.withColumn("changed", canonical(F.col("edited"))).withColumn("edited_fingerprint", digest(F.col("changed")))
+    every = every.select("doc_id", "k", "b", F.col("v.text").alias("own"), F.col("v_next.text").alias("after"), "edited", "changed", F.col("v.digest").alias("fingerprint"), "edited_fingerprint", F.col("v_next.digest").alias("next_digest"))
 
     def alike(same: Column, other: Column) -> Column:
         return F.when(same, canonical(F.col("own")) == other).otherwise(F.lit(False)).cast("double")
 
     near = alike(F.col("fingerprint") == F.col("edited_fingerprint"), F.col("changed")), alike(F.col("fingerprint") == F.col("next_digest"), canonical(F.col("after")))
-    return rows.select("doc_id", "k", "b", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "changed", "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"))
-
-
-def edited_fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = wide_digest) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of ``docs`` (doc_id, text)."""
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    every = edits(docs, digest)
-    kept = written(every.select("k", "b", *columns), "digests")
+    told = every.withColumns({"n_chars": F.char_length("own").cast("long"), "edited_sha256": F.sha2("edited", 256), "near_edited": near[0], "near_next": near[1]})
+    kept = written(told.select("k", "b", *columns), "digests")
     # Only texts whose digest stands on more than one row are held against each other, own and edited ones alike.
     seen = kept.select("k", "b", F.explode(F.array_distinct(F.array("fingerprint", "edited_fingerprint"))).alias("digest"))
     shared = seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     marks = seen.join(shared, "digest", "left_semi").groupBy("b").agg(F.collect_set("k").alias("ks"), F.collect_set("digest").alias("digests"))
-    # A bucket has few ids, and its rows are where the edit put them, so no text is dealt again before copies collapse.
-    some = every.select("k", "b", "own", "changed", "fingerprint", "edited_fingerprint").join(marks, "b").where(F.array_contains("ks", F.col("k")))
-    both = F.explode(F.array(F.struct(canonical(F.col("own")).alias("canon"), F.col("fingerprint").alias("digest")), F.struct(F.col("changed").alias("canon"), F.col("edited_fingerprint").alias("digest"))))
-    found = clashes(some.select(both.alias("f"), "digests").where(F.array_contains("digests", F.col("f.digest"))).select("f.*"))
+    # A bucket has few ids, and its rows are where the edit puts them, so no text is dealt again before copies collapse.
+    some = edited(docs, lambda c: F.struct(c.alias("text"))).join(marks, "b").where(F.array_contains("ks", F.col("k")))
+    forms = some.select("digests", F.explode(F.array("v.text", "edited")).alias("text")).select("digests", canonical(F.col("text")).alias("canon"))
+    forms = forms.withColumn("digest", digest(F.col("canon"))).where(F.array_contains("digests", F.col("digest")))
+    found = clashes(forms.select("canon", "digest"))
     if found is None:
         return kept.select(*columns)
-    rows = every.withColumn("own", canonical(F.col("own")))
+    rows = told.withColumn("own", canonical(F.col("own")))
     for canon, name in (("own", "fingerprint"), ("changed", "edited_fingerprint")):
         rows = resolved(rows, canon, name, found)
     return rows.select(*columns)
