@@ -210,19 +210,35 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("id") == F.col("rated_id"))
     got = featured(rows.select("grade", "text", F.xxhash64("id", "text", "grade").alias("at"))).orderBy("at", "feature", "value").limit(fit_rows).toArrow()
     # In an order of content, so that the fit does not depend on the order of tasks.
-    got = got.sort_by([("feature", "ascending"), ("grade", "ascending")])
+    got = got.sort_by([("feature", "ascending"), ("grade", "ascending")]).combine_chunks()
     grades = got["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(SIZE), np.full(GRADES - 1, -20.0), 0.0)
-    feature = [np.frombuffer(x, np.int32) for x in got["feature"].to_pylist()]
-    value = [np.frombuffer(x, np.float32).astype(float) for x in got["value"].to_pylist()]
+    feature, value = (_parts(got[c], t) for c, t in (("feature", np.int32), ("value", np.float32)))
+    # Words of too few documents get no weight in any fit; without them the driver holds a fraction.
+    often = np.zeros(SIZE, np.int64)
+    for f in feature:
+        often[f] += 1
+    often = (often >= LEAST_DOCS) | (np.arange(SIZE) >= _TAILS)
+    value = [v[often[f]] for f, v in zip(feature, value, strict=True)]
+    feature = [f[often[f]] for f in feature]
+    del got
+    pa.default_memory_pool().release_unused()
     model = Model(*fit(*_stacked(feature, value), grades), 0.0)
     model.select = threshold(held_out_tails(feature, value, grades, model), grades == GRADES - 1)
     return model
 
 
+def _parts(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The values of a binary column as arrays of ``kind`` that share its buffer."""
+    (data,) = column.chunks
+    ends = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, 4 * data.offset)
+    flat = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    return [flat[i:j].view(kind) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _stacked(feature: list[np.ndarray], value: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(feature)), [len(x) for x in feature]), np.concatenate(feature).astype(np.int64), np.concatenate(value)
+    return np.repeat(np.arange(len(feature)), [len(x) for x in feature]), np.concatenate(feature).astype(np.int64), np.concatenate(value).astype(float)
 
 
 def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
