@@ -1,12 +1,13 @@
 """Moving page payloads into blocks and back.
 
 Keys are joined first and payloads last, so payload columns cross a shuffle
-once, and only for blocks that move.
+once, and only for blocks that move.  A block meets its pages by stretches of the
+page table: it is sent once for each stretch it touches, not once for each page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,10 +17,47 @@ def out_of_range(blocks: DataFrame, num_pages: int) -> DataFrame:
     return blocks.withColumn("reject_code", F.when(bad, F.lit("page_range")))
 
 
+#: Bits of a page's place in its stretch, 1024 pages.
+BITS = 10
+
+
+def parts(blocks: DataFrame, bits: int = BITS) -> DataFrame:
+    """Blocks (block_key, pages) cut by stretch: (block_key, stretch, poss, idx), positions in the block and their pages."""
+
+    def part(stretch: Column) -> Column:
+        poss = F.filter(F.sequence(F.lit(0), F.size("pages") - 1), lambda i: F.shiftright(F.get("pages", i), bits) == stretch)
+        return F.struct(stretch.cast("bigint").alias("stretch"), poss.alias("poss"), F.filter("pages", lambda p: F.shiftright(p, bits) == stretch).alias("idx"))
+
+    found = F.array_distinct(F.transform("pages", lambda p: F.shiftright(p, bits)))
+    return blocks.select("block_key", F.explode(F.transform(found, part)).alias("part")).select("block_key", "part.*")
+
+
+def _place(bits: int) -> Column:
+    return F.col("page_idx").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def stretches(pages: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pages (page_idx, payload) as a row for each stretch: (stretch, held), the list of payloads of every place up to the last that has one, null at places without a page."""
+    each = pages.where("page_idx is not null").groupBy("page_idx").agg(F.collect_list(F.struct("payload")).alias("list"))
+    rows = each.groupBy(F.shiftright("page_idx", bits).cast("bigint").alias("stretch")).agg(F.sort_array(F.collect_list(F.struct(_place(bits).alias("place"), "list"))).alias("known"))
+    at = lambda i: F.get("known", i)["place"]
+    none = F.lit(None).cast(each.schema["list"].dataType)
+    held = F.transform(F.sequence(F.lit(0), F.size("known") - 1), lambda i: F.concat(F.array_repeat(none, at(i) - F.coalesce(at(i - 1), F.lit(-1)) - 1), F.array(F.get("known", i)["list"])))
+    return rows.select("stretch", F.flatten(held).alias("held"))
+
+
 def gather(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """(block_key, pos, payload) of each block (block_key, pages) in the order of its page indices."""
-    moves = blocks.select("block_key", F.posexplode("pages").alias("pos", "page_idx"))
-    return moves.join(pages, "page_idx").select("block_key", F.col("pos").cast("bigint").alias("pos"), "payload")
+    """(block_key, pos, payload) of each block (block_key, pages) in the order of its page indices.
+
+    Rows come out by stretch, so that a file of them repeats few payloads often.
+    The page table is dense, and a stretch of its payloads is one row: it is
+    meant for payloads of up to some KB.
+    """
+    met = parts(blocks).join(stretches(pages).hint("shuffle_hash"), "stretch")
+    # Generators over columns that are there: the wide row of a stretch is not copied for each page.
+    moves = met.select("block_key", "poss", "held", F.posexplode("idx").alias("i", "page_idx"))
+    found = moves.select("block_key", F.get("poss", F.col("i")).alias("pos"), F.explode(F.get("held", _place(BITS))).alias("page"))
+    return found.select("block_key", F.col("pos").cast("bigint").alias("pos"), F.col("page.payload").alias("payload"))
 
 
 def scatter(reads: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:

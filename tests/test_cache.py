@@ -114,6 +114,19 @@ def test_gather_scatter(spark):
     assert got == {5: "p49", 9: "p7", 8: None}  # the last position wins; beyond what was stored there is nothing
 
 
+def test_gather_sends_blocks_by_stretch(spark):
+    """Pages with repeats, gaps, nulls and negative numbers give what a join on each page gives; what is sent are blocks, not their pages one by one."""
+    known = [(i, f"p{i}") for i in range(3000) if i % 7] + [(3, "again"), (3, "again"), (5, None), (-2, "minus"), (None, "none")]
+    pages = spark.createDataFrame(known, "page_idx int, payload string")
+    wrote = spark.createDataFrame([("k", [1, 2, 49, 2900, 7, 3, 5]), ("s", [7]), ("e", []), ("n", None), ("m", [-2, None, 4000, 1023, 1024, 1025, 1, 1]), ("l", list(range(2999, -1, -1)))], "block_key string, pages array<int>")
+    got = movement.gather(wrote, pages)
+    plain = wrote.select("block_key", F.posexplode("pages").alias("pos", "page_idx")).join(pages, "page_idx").select("block_key", F.col("pos").cast("long").alias("pos"), "payload")
+    assert got.dtypes == plain.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan.split("Exchange")[0]
+
+
 def test_abort(spark):
     blocks = spark.createDataFrame([(0, i, 10 + i, 2) for i in range(5)] + [(1, 0, 3, 3)], "task_id long, block_idx long, end_seq long, state int")
     aborts = spark.createDataFrame([(0, 12), (0, 20)], "task_id long, abort_seq long")
