@@ -7,11 +7,19 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions.geometry import MOST_BYTES, enough_disk
 
+#: Files that a task keeps open while it writes to shards; beyond, it sorts its rows.
+WRITERS = 16
+
+
+def _among(shards: list[int | None]) -> Column:
+    """Whether the shard is one of ``shards``, where null is one too."""
+    return F.when(F.col("shard").isNull(), F.lit(None in shards)).otherwise(F.col("shard").isin([s for s in shards if s is not None]))
+
 
 class StorageEngine(Protocol):
     """A content-addressed store of blocks."""
@@ -50,12 +58,36 @@ class ParquetEngine:
     def write(self, blocks: DataFrame) -> DataFrame:
         from blockloom.sources.shared import written
 
-        fresh = blocks.join(self.stored().select("block_key").distinct(), "block_key", "left_anti").select("block_key", "pos", "payload", "shard")
         # What is new is settled before any of it is visible.
-        fresh = written(fresh, "fresh")
-        fresh.repartition("shard").write.mode("append").partitionBy("shard").parquet(self.path)
+        fresh = written(self._fresh(blocks).select("block_key", "pos", "payload", "shard"), "fresh")
+        # Every task writes to the shards that it has rows of, with a file open for each instead of a sort: a shard is never the work of one task.
+        writers = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(writers, None)
+        self.spark.conf.set(writers, str(WRITERS))
+        try:
+            fresh.write.mode("append").partitionBy("shard").parquet(self.path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(writers)
+            else:
+                self.spark.conf.set(writers, before)
         return fresh.groupBy("block_key").agg(F.count("*").alias("n_rows"))
 
+    def _fresh(self, blocks: DataFrame) -> DataFrame:
+        """Rows of ``blocks`` whose key isn't stored.
+
+        Keys are looked up before rows: where all of a shard's keys are new, or
+        none is, its rows are taken or left without a join.
+        """
+        if not self._exists():
+            return blocks
+        known = self.stored().select("block_key").distinct()
+        keys = blocks.select("shard", "block_key").distinct().join(known.withColumn("known", F.lit(True)), "block_key", "left")
+        found = keys.groupBy("shard").agg(F.count("*").alias("n"), F.count("known").alias("n_known")).collect()
+        whole, mixed = ([r["shard"] for r in found if test(r)] for test in (lambda r: r["n_known"] == 0, lambda r: 0 < r["n_known"] < r["n"]))
+        out = blocks.where(_among(whole))
+        return out.unionAll(blocks.where(_among(mixed)).join(known, "block_key", "left_anti").select(*blocks.columns)) if mixed else out
+
     def read(self, keys: DataFrame) -> DataFrame:
         return self.stored().join(keys.select("block_key").distinct(), "block_key", "left_semi").select("block_key", "pos", "payload")
 

@@ -301,6 +301,29 @@ def test_engine(spark, tmp_path):
             check_disk(spark, f"file://{tmp_path}/store", bytes_, shards)
 
 
+def test_engine_spreads_a_shard(spark, tmp_path):
+    """A large batch of one shard is written by several tasks; shards with new and known keys, and rows without a shard, keep what they should."""
+    from blockloom.operators.engine import ParquetEngine
+
+    engine = ParquetEngine(spark, f"file://{tmp_path}/store")
+    rows = spark.range(0, 4000, 1, 4).selectExpr("0L as shard", "concat('k', id) as block_key", "0L as pos", "md5(cast(id as string)) as payload")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert engine.write(rows).count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list((tmp_path / "store" / "shard=0").glob("part-*"))) >= 4
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
+    later = spark.createDataFrame([(0, "k1", 0, "other"), (0, "new", 0, "n"), (1, "one", 0, "o"), (None, "none", 0, "x"), (None, None, 0, "y"), (2, "k2", 0, "other")], "shard long, block_key string, pos long, payload string")
+    assert sorted(map(repr, engine.write(later).collect())) == sorted(map(repr, spark.createDataFrame([("new", 1), ("one", 1), ("none", 1), (None, 1)], "block_key string, n_rows long").collect()))
+    assert engine.write(later.where("shard is null").withColumn("block_key", F.concat(F.lit("only"), F.col("block_key")))).where("block_key = 'onlynone'").count() == 1
+    assert engine.stored().where("block_key <> 'onlynone'").count() == 4003 and engine.read(later.where("block_key = 'k1'")).collect()[0].payload != "other"
+    assert sorted(map(repr, (tuple(r) for r in engine.stored().where("payload in ('n', 'o', 'x', 'y') and coalesce(block_key, '') not like 'only%'").select("shard", "block_key").collect()))) == ["(0, 'new')", "(1, 'one')", "(None, 'none')", "(None, None)", "(None, None)"]
+
+
 def test_online_equals_batch(spark, tmp_path):
     """Two triggers, parted inside rows of one time: none is lost, and every row is as in the batch."""
     import time
