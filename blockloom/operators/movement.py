@@ -60,13 +60,29 @@ def gather(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return found.select("block_key", F.col("pos").cast("bigint").alias("pos"), F.col("page.payload").alias("payload"))
 
 
+def winners(reads: DataFrame, order: list[str]) -> DataFrame:
+    """(page_idx, block_key, pos): what each page of ``reads`` (order columns, block_key, pages) gets, the last in ``order`` and position."""
+    moves = reads.select(*order, "block_key", F.posexplode("pages").alias("pos", "page_idx"))
+    last = moves.groupBy("page_idx").agg(F.max(F.struct(*order, "pos", "block_key")).alias("m"))
+    return last.select("page_idx", F.col("m.block_key").alias("block_key"), F.col("m.pos").cast("bigint").alias("pos"))
+
+
+def fetch(asked: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """The rows of ``gather(blocks, pages)`` at the positions ``asked`` (block_key, pos) alone; no other position is gathered."""
+    at = asked.select("block_key", "pos").distinct().join(blocks.select("block_key", "pages"), "block_key")
+    at = at.select("block_key", "pos", F.get("pages", F.col("pos").cast("int")).alias("page_idx"))
+    return at.join(pages, "page_idx").select("block_key", "pos", "payload")
+
+
 def scatter(reads: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
     """(page_idx, payload) after reads: each position of a block goes to its page, the last in ``order`` and position wins.
 
     ``reads``: order columns, block_key, pages; ``stored``: block_key, pos,
     payload.  A position that was never stored gives a null payload.
     """
-    moves = reads.select(*order, "block_key", F.posexplode("pages").alias("pos", "page_idx"))
-    # Only the winning move of a page fetches a payload.
-    last = moves.groupBy("page_idx").agg(F.max(F.struct(*order, "pos", "block_key")).alias("m")).select("page_idx", F.col("m.block_key").alias("block_key"), F.col("m.pos").cast("bigint").alias("pos"))
-    return last.join(stored, ["block_key", "pos"], "left").select("page_idx", "payload")
+    return settled(winners(reads, order), stored)
+
+
+def settled(won: DataFrame, stored: DataFrame) -> DataFrame:
+    """(page_idx, payload) of ``winners`` from ``stored``: only the winning move of a page fetches a payload."""
+    return won.join(stored, ["block_key", "pos"], "left").select("page_idx", "payload")

@@ -388,7 +388,10 @@ def scatter_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     rows = blocks_once(spark, sf)
     keys = rows.where("mode = 'w'").select("block_key").distinct()
     reads = rows.where("mode = 'r'").join(keys, "block_key", "left_semi").select("seq", "block_idx", "block_key", "pages")
-    return movement.scatter(reads, _stored(spark, sf, rows), ["seq", "block_idx"])
+    # Only blocks that win a page are looked up in the store.
+    won = written(movement.winners(reads, ["seq", "block_idx"]), "winners")
+    writes = rows.where("mode = 'w'").select("block_key", "seq", "block_idx", "pages").join(won.select("block_key").distinct(), "block_key", "left_semi")
+    return movement.settled(won, movement.fetch(won, B.first_writers(writes, ["seq", "block_idx"]), kv_pages(spark, sf)))
 
 
 @_register("round_trip", f"{_SQL_MOVED} SELECT count(*) AS n_moves, count(*) FILTER (s.payload = kv.payload) AS n_equal FROM moves JOIN kv USING (page_idx) JOIN stored s USING (block_key, pos)")

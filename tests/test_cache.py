@@ -127,6 +127,15 @@ def test_gather_sends_blocks_by_stretch(spark):
     assert "posexplode" in plan.split("Exchange")[0]
 
 
+def test_fetch_is_gather_of_what_is_asked(spark):
+    pages = spark.createDataFrame([(i, f"p{i}") for i in range(50)] + [(7, "again"), (8, None)], "page_idx int, payload string")
+    wrote = spark.createDataFrame([("k", [1, 2, 49, 99, 8]), ("s", [7]), ("t", list(range(50)))], "block_key string, pages array<int>")
+    asked = spark.createDataFrame([("k", 2), ("k", 2), ("k", 3), ("k", 4), ("k", 5), ("s", 0), ("z", 0)], "block_key string, pos long")
+    got = movement.fetch(asked, wrote, pages)
+    want = movement.gather(wrote, pages).join(asked.distinct(), ["block_key", "pos"], "left_semi")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 5
+
+
 def test_abort(spark):
     blocks = spark.createDataFrame([(0, i, 10 + i, 2) for i in range(5)] + [(1, 0, 3, 3)], "task_id long, block_idx long, end_seq long, state int")
     aborts = spark.createDataFrame([(0, 12), (0, 20)], "task_id long, abort_seq long")
