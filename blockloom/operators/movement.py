@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.sources.shared import written
+
 
 def out_of_range(blocks: DataFrame, num_pages: int) -> DataFrame:
     """``blocks`` and ``reject_code``: 'page_range' if a page index lies outside the page table."""
@@ -53,11 +55,38 @@ def gather(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     The page table is dense, and a stretch of its payloads is one row: it is
     meant for payloads of up to some KB.
     """
+    return gathered(blocks, pages).select("block_key", "pos", "payload")
+
+
+def gathered(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """``gather`` with each row's ``stretch`` and ``copies``, how many payloads its page has."""
     met = parts(blocks).join(stretches(pages).hint("shuffle_hash"), "stretch")
     # Generators over columns that are there: the wide row of a stretch is not copied for each page.
-    moves = met.select("block_key", "poss", "held", F.posexplode("idx").alias("i", "page_idx"))
-    found = moves.select("block_key", F.get("poss", F.col("i")).alias("pos"), F.explode(F.get("held", _place(BITS))).alias("page"))
-    return found.select("block_key", F.col("pos").cast("bigint").alias("pos"), F.col("page.payload").alias("payload"))
+    moves = met.select("block_key", "stretch", "poss", "held", F.posexplode("idx").alias("i", "page_idx"))
+    list_ = F.get("held", _place(BITS))
+    found = moves.select("block_key", "stretch", F.get("poss", F.col("i")).alias("pos"), F.size(list_).alias("copies"), F.explode(list_).alias("page"))
+    return found.select("block_key", "stretch", F.col("pos").cast("bigint").alias("pos"), "copies", F.col("page.payload").alias("payload"))
+
+
+def compared(wanted: DataFrame, stored: DataFrame) -> tuple[int, int]:
+    """Of two ``gathered`` tables: pairs of rows of one (block_key, pos), and those whose payloads are equal.
+
+    A block's positions within a stretch are compared by their number and two
+    64-bit hashes that are joined by exclusive or; only where these differ, a
+    page has several payloads or one is null, rows are joined one by one.
+    """
+    by = ["block_key", "stretch"]
+    own = [F.xxhash64(F.lit(seed), "pos", "payload") for seed in (1, 2)]
+    sums = [x.groupBy(*by).agg(F.count("*").alias(f"n{k}"), *(F.bit_xor(h).alias(f"h{i}{k}") for i, h in enumerate(own)), (F.max("copies") > 1).alias(f"copied{k}"), (F.count("payload") < F.count("*")).alias(f"null{k}")) for k, x in enumerate((wanted, stored))]
+    plain = "n0 = n1 and h00 = h01 and h10 = h11 and not (copied0 or copied1 or null0 or null1)"
+    both = written(sums[0].join(sums[1], by).withColumn("plain", F.expr(plain)), "sums")
+    total = both.where("plain").agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n")).first()["n"]
+    odd = both.where("not plain").select(*by)
+    if odd.isEmpty():
+        return total, total
+    one, two = (x.join(odd, by, "left_semi").select("block_key", "pos", F.col("payload").alias(name)) for x, name in ((wanted, "page"), (stored, "payload")))
+    rest = one.join(two, ["block_key", "pos"]).agg(F.count("*").alias("n"), F.count_if(F.col("page") == F.col("payload")).alias("equal")).first()
+    return total + rest["n"], total + rest["equal"]
 
 
 def winners(reads: DataFrame, order: list[str]) -> DataFrame:

@@ -399,9 +399,10 @@ def round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Every stored position read back against its page."""
     rows = blocks_once(spark, sf)
     writes = rows.where("mode = 'w'").select("block_key", "seq", "block_idx", "pages")
-    moves = B.first_writers(writes, ["seq", "block_idx"]).select("block_key", F.posexplode("pages").alias("pos", "page_idx"))
-    back = moves.join(kv_pages(spark, sf).withColumnRenamed("payload", "page"), "page_idx").join(_stored(spark, sf, rows), ["block_key", "pos"])
-    return back.agg(F.count("*").alias("n_moves"), F.count_if(F.col("page") == F.col("payload")).alias("n_equal"))
+    firsts = written(B.first_writers(writes, ["seq", "block_idx"]).select("block_key", "pages"), "firsts")
+    pages = kv_pages(spark, sf)
+    stored = written(movement.gathered(firsts, pages), "stored")
+    return spark.createDataFrame([movement.compared(movement.gathered(firsts, pages), stored)], "n_moves bigint, n_equal bigint")
 
 
 @_register("range_reject", f"WITH {_SQL_BLOCKS} SELECT task_id, block_idx, CASE WHEN list_max(pages) >= (SELECT (max(vec_id) + 1) * 4 // 5 FROM embeddings) THEN 'page_range' END AS reject_code FROM blocks")

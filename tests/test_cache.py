@@ -136,6 +136,17 @@ def test_fetch_is_gather_of_what_is_asked(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 5
 
 
+def test_compared_is_a_join_by_position(spark):
+    """Equal, changed, missing, repeated and null payloads count as in a join of all rows; equal blocks aren't joined row by row."""
+    pages = spark.createDataFrame([(i, f"p{i}") for i in range(3000)] + [(7, "again"), (8, None)], "page_idx int, payload string").where("page_idx <> 8 or payload is null")
+    wrote = spark.createDataFrame([("k", [1, 2, 49, 99]), ("s", [7, 9]), ("t", list(range(8, 50))), ("u", [5, 2000, 2001]), ("v", [2999, 1])], "block_key string, pages array<int>")
+    rows = movement.gathered(wrote, pages)
+    changed = rows.where("not (block_key = 'v' and pos = 1)").withColumn("payload", F.when(F.expr("block_key = 'u' and pos = 2"), "late").otherwise(F.col("payload")))
+    for stored in (rows, changed, rows.where("block_key = 'k'"), rows.where("false")):
+        pairs = rows.select("block_key", "pos", F.col("payload").alias("page")).join(stored, ["block_key", "pos"])
+        assert movement.compared(rows, stored) == (pairs.count(), pairs.where("page = payload").count())
+
+
 def test_abort(spark):
     blocks = spark.createDataFrame([(0, i, 10 + i, 2) for i in range(5)] + [(1, 0, 3, 3)], "task_id long, block_idx long, end_seq long, state int")
     aborts = spark.createDataFrame([(0, 12), (0, 20)], "task_id long, abort_seq long")
