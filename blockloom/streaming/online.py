@@ -47,17 +47,38 @@ def online(trace: DataFrame, capacity: int) -> DataFrame:
     return trace.groupBy("shard").transformWithStateInPandas(LruProcessor(capacity), OUT, "Append", "None")
 
 
-def replay_available(trace: DataFrame, capacity: int) -> DataFrame:
-    """A batch ``trace`` put through the stream in one trigger: written to the shared folder, streamed, and read back."""
+#: Rows of a trigger of ``replay_available``: a worker holds its shard's share of them.
+ROWS = 500_000
+
+
+def replay_available(trace: DataFrame, capacity: int, rows: int = ROWS) -> DataFrame:
+    """A batch ``trace`` put through the stream: written to the shared folder by ranges of its order, streamed range by range, and read back.
+
+    Ranges hold about ``rows`` rows and rows of one (seq, tie) stay together, so
+    no row is late.  Each is moved to the source when the one before is done.
+    """
     spark = trace.sparkSession
     top = fresh_path(spark, "online")
-    trace.write.parquet(f"{top}/in")
+    trace.write.parquet(f"{top}/trace")
+    whole = spark.read.schema(trace.schema).parquet(f"{top}/trace")
+    whole.repartitionByRange(max(1, -(-whole.count() // rows)), "seq", "tie").write.parquet(f"{top}/ranges")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(top).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(path(f"{top}/ranges")) if f.getPath().getName().startswith("part-"))
+    fs.mkdirs(path(f"{top}/in"))
     provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
+    dealt = "spark.sql.shuffle.partitions"
+    before, shards = {k: spark.conf.get(k) for k in (provider, dealt)}, whole.select("shard").distinct().count()
+    # Every trigger commits a state store for each partition; those beyond the shards hold nothing.
+    spark.conf.set(dealt, str(max(1, min(int(before[dealt]), 2 * shards))))
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = online(spark.readStream.schema(trace.schema).parquet(f"{top}/in"), capacity).writeStream.format("parquet").outputMode("append")
-        stream.option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+        for name in names:
+            if not fs.rename(path(f"{top}/ranges/{name}"), path(f"{top}/in/{name}")):
+                raise OSError(f"{name} can't be moved")
+            stream = online(spark.readStream.schema(trace.schema).parquet(f"{top}/in"), capacity).writeStream.format("parquet").outputMode("append")
+            stream.option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(OUT).parquet(f"{top}/out")

@@ -363,6 +363,19 @@ def test_online_equals_batch(spark, tmp_path):
     assert got == {r.b: (r.hit, r.slot, r.evicted) for r in lru.replay(df, 3, ("a", "b")).collect()}
 
 
+def test_available_trace_goes_by_ranges(spark, monkeypatch):
+    """No trigger gets much more than its share of the rows, and the result is the batch's."""
+    from blockloom.streaming import online as module
+
+    got, started = [], module.online
+    monkeypatch.setattr(module, "online", lambda trace, capacity: got.append(1) or started(trace, capacity))
+    df, rows = trace_of(spark, 600, 2, 9, "qwrwf")
+    one = df.select("shard", (F.col("a") / 50).cast("long").alias("seq"), F.col("b").alias("tie"), "op", "block_key")
+    out = {r.tie: (r.hit, r.slot, r.evicted) for r in module.replay_available(one, 3, 250).collect()}
+    assert out == {r.b: (r.hit, r.slot, r.evicted) for r in lru.replay(df, 3, ("a", "b")).collect()} and len(out) == 600
+    assert len(got) == 3
+
+
 def test_shared_folder_is_named_on_a_cluster():
     from types import SimpleNamespace
 
